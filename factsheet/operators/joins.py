@@ -19,6 +19,10 @@ def join_on_normalized(left: DataFrame, right: DataFrame, left_key: str, right_k
     return l.join(r, "_key").drop("_key")
 
 
+# A product of two row counts outgrows a bigint long before a cluster runs out of rows.
+_ROWS = "decimal(20,0)"
+
+
 @dataclass(frozen=True)
 class Measure:
     """One output of ``fanout_aggregate``: ``how`` of ``column`` taken over the joined rows."""
@@ -36,8 +40,8 @@ class Measure:
     def final(self, prefix: str, other_rows: str) -> Column:
         if self.how == "max":
             return F.max(f"{prefix}_max").alias(self.name)
-        total = F.sum(F.col(f"{prefix}_sum") * F.col(other_rows))
-        n = F.sum(F.col(f"{prefix}_n") * F.col(other_rows))
+        total = F.sum(F.col(f"{prefix}_sum") * F.col(other_rows).cast(_ROWS))
+        n = F.sum(F.col(f"{prefix}_n").cast(_ROWS) * F.col(other_rows).cast(_ROWS))
         if self.how == "sum":
             return total.alias(self.name)
         if self.how == "mean":
@@ -63,7 +67,8 @@ def fanout_aggregate(
     Each side is first reduced to one row per (key, group). A pair of reduced rows then
     stands for the product of their row counts: counts multiply, a sum is taken as often
     as the other side has rows, a maximum is unchanged and a mean divides the two.
-    The result equals that of grouping the full join.
+    The result equals that of grouping the full join; counts and integer sums come out
+    as decimals of 38 digits.
     """
 
     def reduce_side(df: DataFrame, by: Sequence[str], measures: Sequence[Measure], side: str) -> DataFrame:
@@ -72,7 +77,7 @@ def fanout_aggregate(
 
     pairs = reduce_side(left, left_by, left_measures, "l").join(reduce_side(right, right_by, right_measures, "r"), on)
     return pairs.groupBy(*left_by, *right_by).agg(
-        F.sum(F.col("_l_rows") * F.col("_r_rows")).alias(rows),
+        F.sum(F.col("_l_rows").cast(_ROWS) * F.col("_r_rows").cast(_ROWS)).alias(rows),
         *[m.final(f"_l{i}", "_r_rows") for i, m in enumerate(left_measures)],
         *[m.final(f"_r{i}", "_l_rows") for i, m in enumerate(right_measures)],
     )
