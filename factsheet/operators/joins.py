@@ -19,6 +19,43 @@ def join_on_normalized(left: DataFrame, right: DataFrame, left_key: str, right_k
     return l.join(r, "_key").drop("_key")
 
 
+# A key is hot when it has more rows than this and more than the table's share below.
+_HOT_ROWS = 1_000_000
+# At most this many keys can each have more than one part in as many of the rows, so the
+# hot side of a look-up never has more rows, whatever the size of the table.
+_MAX_HOT_KEYS = 100_000
+
+
+def lookup(
+    df: DataFrame, per_key: DataFrame, key: str, rows: str, *, how: str = "left", hot_rows: int = _HOT_ROWS
+) -> DataFrame:
+    """Join each row to the one row of its key, however unevenly the rows fall on the keys.
+
+    ``rows`` is a column of ``per_key`` with the number of rows of ``df`` that have the
+    key; it is not part of the result. Spark splits a skewed join only when both sides come
+    straight from a shuffle, which an aggregate does not. So hot keys, whose number is
+    bounded, are broadcast and their rows stay where they are; the other rows, and with
+    them no large group, are shuffled. Rows without a key skip the join.
+
+    Without hot keys the broadcast is empty and Spark drops that branch while running.
+    """
+    total = per_key.agg(F.sum(rows)).scalar()
+    is_hot = F.col(rows) > F.greatest(F.lit(float(hot_rows)), total / _MAX_HOT_KEYS)
+    hot = F.broadcast(per_key.filter(is_hot).drop(rows))
+    found = per_key.drop(rows)
+
+    columns = [*df.columns, *[c for c in found.columns if c != key]]
+    keyed = df.filter(F.col(key).isNotNull())
+    out = keyed.join(hot, key).select(columns).unionByName(
+        keyed.join(hot.select(key), key, "left_anti").join(found, key, how).select(columns)
+    )
+    if how == "left" and df.schema[key].nullable:
+        without = df.filter(F.col(key).isNull())
+        nulls = {f.name: F.lit(None).cast(f.dataType) for f in found.schema.fields if f.name != key}
+        out = out.unionByName(without.withColumns(nulls))
+    return out
+
+
 # A product of two row counts outgrows a bigint long before a cluster runs out of rows.
 _ROWS = "decimal(20,0)"
 

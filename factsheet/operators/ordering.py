@@ -2,22 +2,24 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 
-def sort_rows(df: DataFrame, *keys: Column | str, unique: str) -> DataFrame:
-    """Sort by ``keys`` and then by a unique column.
+def sort_rows(df: DataFrame, *keys: Column | str, unique: str | Sequence[str]) -> DataFrame:
+    """Sort by ``keys`` and then by a column, or several, that tell all rows apart.
 
     Spark splits a sort into ranges of the key, and rows that compare equal share a
-    task. The unique column makes every row different, so a value that holds a third
+    task. With the unique column no two rows are equal, so a value that holds a third
     of the table is still cut into many ranges. It also makes the order repeatable.
     """
-    return df.orderBy(*keys, unique)
+    return df.orderBy(*keys, *([unique] if isinstance(unique, str) else unique))
 
 
-def top_rows(df: DataFrame, n: int, *keys: Column | str, unique: str) -> DataFrame:
+def top_rows(df: DataFrame, n: int, *keys: Column | str, unique: str | Sequence[str]) -> DataFrame:
     """First ``n`` rows by ``keys``: each task keeps ``n``, then one merge."""
-    return df.orderBy(*keys, unique).limit(n)
+    return sort_rows(df, *keys, unique=unique).limit(n)
 
 
 def nulls_highest(key: str, *, descending: bool = False) -> Column:

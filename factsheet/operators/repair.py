@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from factsheet.functions import text
 from factsheet.functions.measures import map_categories, row_count
+from factsheet.operators.joins import lookup
 
 
 def recode(df: DataFrame, column: str, mapping: Mapping[str, str]) -> DataFrame:
@@ -62,10 +63,17 @@ def fill_from_sibling(df: DataFrame, group: str, value: str, order_by: str) -> D
     One donor per group comes from an aggregate, so a group of any size is combined
     before the shuffle, and only rows with a gap are joined: the rest never move.
     """
-    donors = df.filter(F.col(value).isNotNull()).groupBy(group).agg(F.min_by(value, order_by).alias("_donor"))
-    gaps = df.filter(F.col(value).isNull())
-    filled = gaps.join(donors, group, "left").withColumn(value, F.col("_donor")).select(*df.columns)
-    return df.filter(F.col(value).isNotNull()).unionByName(filled)
+    missing = F.col(value).isNull()
+    donors = (
+        df.groupBy(group)
+        .agg(
+            F.min_by(value, F.when(~missing, F.col(order_by))).alias("_donor"),
+            F.count_if(missing).alias("_gaps"),
+        )
+        .filter(F.col("_gaps") > 0)
+    )
+    filled = lookup(df.filter(missing), donors, group, "_gaps").withColumn(value, F.col("_donor"))
+    return df.filter(~missing).unionByName(filled.select(*df.columns))
 
 
 def fill_preview(df: DataFrame, group: str, value: str) -> DataFrame:
@@ -75,12 +83,17 @@ def fill_preview(df: DataFrame, group: str, value: str) -> DataFrame:
     columns hold only the group and the sibling's value, so the distinct lines with
     their number of ``pairs`` carry the same content, and counts per value give them.
     """
+    missing = F.col(value).isNull()
     per_value = df.filter(F.col(group).isNotNull()).groupBy(group, value).agg(row_count().alias("_n"))
-    gaps = per_value.filter(F.col(value).isNull()).select(group, F.col("_n").alias("_gaps"))
+    gaps = (
+        per_value.groupBy(group)
+        .agg(F.max(F.when(missing, F.col("_n"))).alias("_gaps"), row_count().alias("_values"))
+        .filter(F.col("_gaps").isNotNull())
+    )
     # A row with a gap does not pair with itself.
-    others = F.when(F.col(value).isNull(), F.col("_n") - 1).otherwise(F.col("_n"))
+    others = F.when(missing, F.col("_n") - 1).otherwise(F.col("_n"))
     return (
-        per_value.join(gaps, group)
+        lookup(per_value, gaps, group, "_values", how="inner")
         .withColumn("pairs", F.col("_gaps") * others)
         .filter(F.col("pairs") > 0)
         .select(group, F.col(value).alias("sibling_value"), "pairs")

@@ -17,7 +17,7 @@ from factsheet.functions.measures import (
     safe_ratio,
     weighted_sum,
 )
-from factsheet.operators.joins import combine_sources
+from factsheet.operators.joins import combine_sources, lookup
 
 # The weight of each source in the score, as shares of 1.
 WEIGHTS = {
@@ -102,10 +102,11 @@ def minmax_scale(df: DataFrame, columns: Mapping[str, str]) -> DataFrame:
     ).scalar()
 
     def scaled(c: str) -> Column:
-        low, high = bounds[f"min_{c}"], bounds[f"max_{c}"]
+        low, high = F.col(f"_bounds.min_{c}"), F.col(f"_bounds.max_{c}")
         return ((F.col(c) - low) * F.lit(Decimal("100.0")) / F.nullif(high - low, F.lit(0))).cast(SCORE)
 
-    return df.withColumns({name: scaled(c) for c, name in columns.items()})
+    # As a column, the scalar's plan stands in the query once rather than once per use.
+    return df.withColumn("_bounds", bounds).withColumns({name: scaled(c) for c, name in columns.items()}).drop("_bounds")
 
 
 def alt_score(combined: DataFrame, weights: Mapping[str, str] = WEIGHTS, name: str = "alt_data_credit_score") -> DataFrame:
@@ -129,13 +130,15 @@ def rank_within(df: DataFrame, group: str, score: str, name: str = "rank_within_
     kind = df.schema[score].dataType
     if not (isinstance(kind, (BooleanType, ByteType, ShortType)) or (isinstance(kind, DecimalType) and kind.precision <= 6)):
         raise ValueError(f"{score} is {kind.simpleString()}; cast it to {SCORE} first")
-    higher = Window.partitionBy("_g").orderBy(F.desc_nulls_last("_s")).rowsBetween(Window.unboundedPreceding, -1)
+    # A struct is never NULL and compares NULL fields as equal.
+    keyed = df.withColumn("_key", F.struct(F.col(group).alias("g"), F.col(score).alias("s")))
+    higher = Window.partitionBy("_key.g").orderBy(F.desc_nulls_last("_key.s")).rowsBetween(Window.unboundedPreceding, -1)
     ranks = (
-        df.groupBy(F.col(group).alias("_g"), F.col(score).alias("_s"))
-        .agg(row_count().alias("_n"))
-        .select("_g", "_s", (F.coalesce(F.sum("_n").over(higher), F.lit(0)) + 1).alias(name))
+        keyed.groupBy("_key")
+        .agg(row_count().alias("_rows"))
+        .withColumn(name, F.coalesce(F.sum("_rows").over(higher), F.lit(0)) + 1)
     )
-    return df.join(ranks, df[group].eqNullSafe(F.col("_g")) & df[score].eqNullSafe(F.col("_s"))).select(*df.columns, name)
+    return lookup(keyed, ranks, "_key", "_rows", how="inner").drop("_key")
 
 
 def score_tier(score: Column | str, tiers: Sequence[tuple[int, str]] = TIERS, top: str = TOP_TIER) -> Column:

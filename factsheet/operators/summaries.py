@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from factsheet.functions.measures import MONEY, int_avg, map_categories
 from factsheet.functions.text import clean_number, normalized_key
 from factsheet.operators.joins import Measure, fanout_aggregate
+from factsheet.operators.ordering import sort_rows
 
 # The age that stands for each age group.
 AGE_OF_GROUP = {
@@ -70,7 +71,7 @@ def city_summary(cities: DataFrame, streams: DataFrame) -> DataFrame:
 
 def wealth_and_streams(summary: DataFrame) -> DataFrame:
     """Ordered by revenue, which is not shown."""
-    return summary.orderBy(F.desc("total_revenue"), "city").select("gdp_per_capita_usd", "total_streams", "city", "country")
+    return sort_rows(summary, F.desc("total_revenue"), unique=PLACE).select("gdp_per_capita_usd", "total_streams", "city", "country")
 
 
 def high_volume_low_revenue(summary: DataFrame, *, streams_over: int = 10000, revenue_under: int = 300000) -> DataFrame:
@@ -88,7 +89,7 @@ def growth_opportunities(summary: DataFrame, status: str = "Growth Opportunity")
     means = summary.agg(
         F.struct(int_avg("total_streams").alias("streams"), F.avg("city_population_mil").alias("population"))
     ).scalar()
-    return (
+    found = (
         summary.filter((F.col("city_population_mil") > means["population"]) & (F.col("total_streams") < means["streams"]))
         .select(
             *PLACE,
@@ -99,5 +100,5 @@ def growth_opportunities(summary: DataFrame, status: str = "Growth Opportunity")
             (means["streams"] - F.col("total_streams")).alias("streams_below_avg"),
             F.lit(status).alias("market_status"),
         )
-        .orderBy(F.desc("population_mil"))
     )
+    return sort_rows(found, F.desc("population_mil"), unique=PLACE)

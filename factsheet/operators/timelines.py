@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from factsheet.functions.dates import as_of_date, days_between, month_start
 from factsheet.functions.measures import as_column, row_count
 from factsheet.functions.text import matches_ignoring_case
+from factsheet.operators.joins import lookup
 
 
 def of_entities(df: DataFrame, entities: Sequence[str] | None) -> DataFrame:
@@ -33,12 +34,15 @@ def entity_ratio_spread(part: DataFrame, whole: DataFrame, pattern: str) -> Data
     and highest ratio, which need only the count, bounds and mean of ``part``.
     """
     value = F.col("value").try_cast("double")
+    named = matches_ignoring_case("entity", pattern)
     parts = (
-        part.filter(matches_ignoring_case("entity", pattern))
+        part.filter(named)
         .groupBy("entity")
         .agg(row_count().alias("pairs"), F.min(value).alias("_lo"), F.max(value).alias("_hi"), F.avg(value).alias("_mean"))
     )
-    w = whole.select("entity", "day", F.col("value").try_cast("double").alias("whole")).join(parts, "entity")
+    days = whole.filter(named).select("entity", "day", value.alias("whole"))
+    sized = parts.join(days.groupBy("entity").agg(row_count().alias("_days")), "entity")
+    w = lookup(days, sized, "entity", "_days", how="inner")
     low, mean, high = (F.col(c) / F.nullif(F.col("whole"), F.lit(0)) * 100 for c in ("_lo", "_mean", "_hi"))
     # A negative denominator swaps the bounds.
     return w.select(
@@ -76,37 +80,46 @@ def with_entity_total(
     p = of_entities(part, entities).select("entity", "day", F.col("value").alias("part_value"))
     w = whole.select("entity", "day", F.col("value").alias("whole_value"))
     joined = p.join(w, ["entity", "day"])
-    totals = joined.groupBy("entity").agg(F.sum(F.col("part_value").cast(as_type)).alias("entity_total"))
-    # An entity that is NULL never gets through the first join, so plain equality serves here.
-    return joined.join(totals, "entity").select("day", "whole_value", "entity", "part_value", "entity_total")
+    totals = joined.groupBy("entity").agg(
+        F.sum(F.col("part_value").cast(as_type)).alias("entity_total"), row_count().alias("_rows")
+    )
+    return lookup(joined, totals, "entity", "_rows", how="inner").select("day", "whole_value", "entity", "part_value", "entity_total")
 
 
-def typical_hours(df: DataFrame, *, min_history: int = 5) -> DataFrame:
-    """Hours of each customer with enough history, busiest first, the earlier hour on ties.
+def _hours_of_customers(df: DataFrame, min_history: int) -> DataFrame:
+    """Busiest hours first, the earlier hour on ties, and the number of rows, per customer.
 
     Rows are counted per customer and hour before anything is gathered, so an array
     holds at most 24 entries.
     """
-    per_hour = df.groupBy("customer_id", F.hour("timestamp").alias("_hour")).agg(row_count().alias("_n"))
-    ranked = F.array_sort(F.collect_list(F.when(F.col("_hour").isNotNull(), F.struct((-F.col("_n")).alias("n"), F.col("_hour").alias("h")))))
+    hour = F.hour("timestamp")
+    per_hour = df.groupBy("customer_id", hour.alias("_hour")).agg(row_count().alias("_n"))
+    entry = F.when(F.col("_hour").isNotNull(), F.struct((-F.col("_n")).alias("n"), F.col("_hour").alias("h")))
     return (
         per_hour.groupBy("customer_id")
-        .agg(F.sum("_n").alias("_total"), ranked.alias("_ranked"))
-        .filter(F.col("_total") >= min_history)
-        .select("customer_id", F.transform("_ranked", lambda x: x["h"]).alias("ranked_hours"))
+        .agg(F.sum("_n").alias("_rows"), F.array_sort(F.collect_list(entry)).alias("_ranked"))
+        .filter(F.col("_rows") >= min_history)
+        .select("customer_id", F.transform("_ranked", lambda x: x["h"]).alias("ranked_hours"), "_rows")
     )
 
 
+def typical_hours(df: DataFrame, *, min_history: int = 5) -> DataFrame:
+    """Hours of each customer with enough history, busiest first, the earlier hour on ties."""
+    return _hours_of_customers(df, min_history).drop("_rows")
+
+
 def unusual_hour_flag(df: DataFrame, *, min_history: int = 5, top: int = 3) -> DataFrame:
     """Whether each transaction falls in one of its customer's busiest hours."""
-    typical = typical_hours(df, min_history=min_history).withColumn("_top", F.slice("ranked_hours", 1, top))
+    typical = _hours_of_customers(df, min_history).select(
+        "customer_id", F.slice("ranked_hours", 1, top).alias("_top"), "_rows"
+    )
     hour = F.hour("timestamp")
     flag = (
         F.when(F.col("_top").isNull(), "insufficient_history")
         .when(F.coalesce(F.array_contains("_top", hour), F.lit(False)), "typical_hour")
         .otherwise("unusual_hour")
     )
-    return df.join(typical.drop("ranked_hours"), "customer_id", "left").select(
+    return lookup(df, typical, "customer_id", "_rows").select(
         "transaction_id", "customer_id", hour.cast("bigint").alias("txn_hour"), flag.alias("hour_flag")
     )
 
@@ -119,23 +132,18 @@ def days_since_last(df: DataFrame, name: str = "days_since_last_txn") -> DataFra
     days, of which a customer has few, and a customer with a large part of all rows is
     never sorted in one task. ``transaction_id`` must be unique.
     """
-    day = F.col("timestamp").cast("date")
+    dated = df.withColumn("_key", F.struct("customer_id", F.col("timestamp").cast("date").alias("day")))
     moment = F.struct("timestamp", "transaction_id")
+    by_day = Window.partitionBy("_key.customer_id").orderBy("_key.day")
     days = (
-        df.filter(F.col("timestamp").isNotNull())
-        .groupBy("customer_id", day.alias("_day"))
-        .agg(F.min(moment).alias("_first"))
-        .withColumn("_previous", F.lag("_day").over(Window.partitionBy("customer_id").orderBy("_day")))
-    )
-    d = days.select(F.col("customer_id").alias("_c"), "_day", "_first", "_previous")
-    dated = df.withColumn("_on", day)
-    joined = dated.join(d, dated["customer_id"].eqNullSafe(d["_c"]) & (dated["_on"] == d["_day"]), "left")
-    gap = (
-        F.when(F.col("_day").isNull(), None)
-        .when(moment == F.col("_first"), days_between("_previous", "_on"))
-        .otherwise(0)
+        dated.filter(F.col("timestamp").isNotNull())
+        .groupBy("_key")
+        .agg(F.min(moment).alias("_first"), row_count().alias("_rows"))
+        .withColumn("_previous", F.lag("_key.day").over(by_day))
     )
-    return joined.select(*df.columns, gap.cast("bigint").alias(name))
+    # A row without a time finds no day and gets NULL.
+    gap = F.when(moment == F.col("_first"), days_between("_previous", "_key.day")).when(F.col("_first").isNotNull(), 0)
+    return lookup(dated, days, "_key", "_rows").select(*df.columns, gap.cast("bigint").alias(name))
 
 
 def recency_days(df: DataFrame, key: str, day: Column | str, as_of: str | Column | None = None) -> DataFrame:

@@ -14,14 +14,15 @@ from factsheet.plans.tables import (
     TIMED_SQL,
     applicants,
     bills,
+    read_table,
     sources,
     timed_transactions,
 )
-from factsheet.sources.ingest import read_table
 
 KEY = "applicant_id"
 AS_OF = "2001-08-02"
-TOTALS_SQL = ", ".join(f"CAST(total_{n} AS DOUBLE) AS total_{n}" for n in ("airtime", "mobile_money", "utility", "market"))
+SOURCES = ("airtime", "mobile_money", "utility", "market")
+TOTALS_SQL = ", ".join(f"CAST(total_{n} AS DOUBLE) AS total_{n}" for n in SOURCES)
 
 
 def _combined(spark: SparkSession, folder: str) -> DataFrame:
@@ -41,8 +42,7 @@ FROM airtime a FULL JOIN mobile_money m USING (applicant_id) FULL JOIN utility u
      FULL JOIN market k USING (applicant_id)""",
 )
 def source_totals(spark: SparkSession, folder: str) -> DataFrame:
-    named = sources(spark, folder)
-    return joins.source_totals(KEY, named).select(KEY, *[f"total_{n}" for n in named])
+    return joins.source_totals(KEY, sources(spark, folder)).select(KEY, *[f"total_{n}" for n in SOURCES])
 
 
 @query(
@@ -51,7 +51,7 @@ def source_totals(spark: SparkSession, folder: str) -> DataFrame:
 )
 def alt_combined(spark: SparkSession, folder: str) -> DataFrame:
     return _combined(spark, folder).select(
-        KEY, "full_name", "credit_bureau_score", *[f"total_{n}" for n in sources(spark, folder)], "sources_present"
+        KEY, "full_name", "credit_bureau_score", *[f"total_{n}" for n in SOURCES], "sources_present"
     )
 
 
@@ -91,22 +91,21 @@ def _scaled_sql(column: str) -> str:
 
 SCALED_SQL = f"""{SOURCES_SQL},
 scaled AS (
-  SELECT *, {", ".join(f"{_scaled_sql(f'total_{n}')} AS {n}_c" for n in ("airtime", "mobile_money", "utility", "market"))}
+  SELECT *, {", ".join(f"{_scaled_sql(f'total_{n}')} AS {n}_c" for n in SOURCES)}
   FROM combined),
 scored AS (
   SELECT *, (35 * COALESCE(utility_c, 0) + 30 * COALESCE(mobile_money_c, 0) + 20 * COALESCE(market_c, 0)
              + 15 * COALESCE(airtime_c, 0) + 50) // 100 AS score_c
   FROM scaled),
 rescaled AS (SELECT *, {_scaled_sql("score_c")} AS rescaled_c FROM scored)"""
-SCORES_SQL = ", ".join(f"CAST({n}_c AS DOUBLE) / 100 AS {n}_score" for n in ("airtime", "mobile_money", "utility", "market"))
+SCORES_SQL = ", ".join(f"CAST({n}_c AS DOUBLE) / 100 AS {n}_score" for n in SOURCES)
 ALT_SQL = "CAST(score_c AS DOUBLE) / 100 AS alt_data_credit_score"
 
 
 @query("minmax_scale", f"WITH {SCALED_SQL} SELECT applicant_id, {SCORES_SQL} FROM scaled")
 def minmax_scale(spark: SparkSession, folder: str) -> DataFrame:
-    named = sources(spark, folder)
-    scaled = scoring.minmax_scale(_combined(spark, folder), {f"total_{n}": f"{n}_score" for n in named})
-    return scaled.select(KEY, *[f"{n}_score" for n in named])
+    scaled = scoring.minmax_scale(_combined(spark, folder), {f"total_{n}": f"{n}_score" for n in SOURCES})
+    return scaled.select(KEY, *[f"{n}_score" for n in SOURCES])
 
 
 @query(
@@ -115,8 +114,7 @@ def minmax_scale(spark: SparkSession, folder: str) -> DataFrame:
 SELECT applicant_id, full_name, credit_bureau_score, {TOTALS_SQL}, {SCORES_SQL}, {ALT_SQL} FROM scored""",
 )
 def alt_score_v1(spark: SparkSession, folder: str) -> DataFrame:
-    named = sources(spark, folder)
-    columns = [*[f"total_{n}" for n in named], *[f"{n}_score" for n in named], "alt_data_credit_score"]
+    columns = [*[f"total_{n}" for n in SOURCES], *[f"{n}_score" for n in SOURCES], "alt_data_credit_score"]
     scored = _scored(spark, folder).select(KEY, "full_name", "credit_bureau_score", *columns)
     return ordering.sort_rows(scored, F.desc("alt_data_credit_score"), unique=KEY)
 

@@ -9,8 +9,7 @@ from factsheet.functions.dates import parse_day_first
 from factsheet.functions.measures import MONEY
 from factsheet.operators import duplicates, profiling, repair
 from factsheet.plans.registry import query
-from factsheet.plans.tables import PROPERTIES_SQL, properties
-from factsheet.sources.ingest import read_table
+from factsheet.plans.tables import PROPERTIES_SQL, properties, read_table
 
 
 @query("filter_null", f"WITH {PROPERTIES_SQL} SELECT unique_id, parcel_id FROM properties WHERE property_address IS NULL")

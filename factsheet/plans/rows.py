@@ -9,8 +9,7 @@ from factsheet.functions.text import matches_ignoring_case
 from factsheet.operators import ordering
 from factsheet.plans import risk
 from factsheet.plans.registry import ORACLES, query
-from factsheet.plans.tables import _order_regions
-from factsheet.sources.ingest import read_table
+from factsheet.plans.tables import _order_regions, read_table
 from factsheet.sources.publish import export, fresh_path
 
 
@@ -30,9 +29,9 @@ def filter_eq(spark: SparkSession, folder: str) -> DataFrame:
     return ordering.sort_rows(found, F.desc("p_size"), unique="p_partkey")
 
 
-@query("filter_conj", "SELECT * FROM part WHERE p_type = 'ECONOMY' AND p_size > 25 AND p_retailprice > 1000.0")
+@query("filter_conj", "SELECT * FROM part WHERE p_type = 'ECONOMY' AND p_size > 25 AND p_retailprice > 950.0")
 def filter_conj(spark: SparkSession, folder: str) -> DataFrame:
-    wanted = (F.col("p_type") == "ECONOMY") & (F.col("p_size") > 25) & (F.col("p_retailprice") > 1000.0)
+    wanted = (F.col("p_type") == "ECONOMY") & (F.col("p_size") > 25) & (F.col("p_retailprice") > 950.0)
     return ordering.sort_rows(read_table(spark, folder, "part").filter(wanted), F.desc("p_size"), unique="p_partkey")
 
 

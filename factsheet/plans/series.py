@@ -16,6 +16,10 @@ IN_SQL = "entity IN ('AFRICA', 'ASIA', 'EUROPE')"
 WIDE = "decimal(28,2)"
 
 
+def _largest_first(df: DataFrame, measure: str) -> DataFrame:
+    return ordering.sort_rows(df, F.desc(measure), unique=["entity", "day"])
+
+
 @query(
     "entity_ratio",
     f"""WITH {READINGS_SQL}
@@ -47,7 +51,7 @@ def entity_ratio_spread(spark: SparkSession, folder: str) -> DataFrame:
     f"WITH {READINGS_SQL} SELECT entity, day, CAST(MAX(value) AS DOUBLE) AS highest FROM order_readings GROUP BY entity, day",
 )
 def max_by_entity_day(spark: SparkSession, folder: str) -> DataFrame:
-    return timelines.max_by_entity_day(order_readings(spark, folder)).orderBy(F.desc("highest"))
+    return _largest_first(timelines.max_by_entity_day(order_readings(spark, folder)), "highest")
 
 
 @query(
@@ -55,7 +59,7 @@ def max_by_entity_day(spark: SparkSession, folder: str) -> DataFrame:
     f"WITH {READINGS_SQL} SELECT entity, day, CAST(MAX(value) AS DOUBLE) AS highest FROM order_readings WHERE {IN_SQL} GROUP BY entity, day",
 )
 def max_by_listed_entity_day(spark: SparkSession, folder: str) -> DataFrame:
-    return timelines.max_by_entity_day(order_readings(spark, folder), entities=ENTITIES).orderBy(F.desc("highest"))
+    return _largest_first(timelines.max_by_entity_day(order_readings(spark, folder), entities=ENTITIES), "highest")
 
 
 @query(
@@ -63,7 +67,7 @@ def max_by_listed_entity_day(spark: SparkSession, folder: str) -> DataFrame:
     f"WITH {READINGS_SQL} SELECT entity, day, CAST(SUM(value) AS DOUBLE) AS total FROM order_readings WHERE {IN_SQL} GROUP BY entity, day",
 )
 def sum_by_entity_day(spark: SparkSession, folder: str) -> DataFrame:
-    return timelines.sum_by_entity_day(order_readings(spark, folder), MONEY, ENTITIES).orderBy(F.desc("total"))
+    return _largest_first(timelines.sum_by_entity_day(order_readings(spark, folder), MONEY, ENTITIES), "total")
 
 
 @query("global_total", f"WITH {READINGS_SQL} SELECT CAST(SUM(value) AS DOUBLE) AS total FROM order_readings WHERE {IN_SQL}")
@@ -142,4 +146,4 @@ def view(spark: SparkSession, folder: str) -> DataFrame:
 def sort_ordinal(spark: SparkSession, folder: str) -> DataFrame:
     """The third column, largest first, by name rather than by position."""
     series = doses(spark, folder).select("entity", "day", F.col("value").cast("double").alias("doses"))
-    return ordering.sort_rows(series, F.desc("doses"), "entity", unique="day")
+    return _largest_first(series, "doses")
