@@ -34,26 +34,27 @@ def lookup(
     ``rows`` is a column of ``per_key`` with the number of rows of ``df`` that have the
     key; it is not part of the result. Spark splits a skewed join only when both sides come
     straight from a shuffle, which an aggregate does not. So hot keys, whose number is
-    bounded, are broadcast and their rows stay where they are; the other rows, and with
-    them no large group, are shuffled. Rows without a key skip the join.
+    bounded, are found in a broadcast, and their rows, like rows without a key, go through
+    the shuffle spread by the partition they come from. That number is the same when a lost
+    task is run again, so no row moves twice. ``df`` is evaluated once.
 
-    Without hot keys the broadcast is empty and Spark drops that branch while running.
+    Without hot keys the broadcast is empty and Spark drops it while running.
     """
     total = per_key.agg(F.sum(rows)).scalar()
     is_hot = F.col(rows) > F.greatest(F.lit(float(hot_rows)), total / _MAX_HOT_KEYS)
-    hot = F.broadcast(per_key.filter(is_hot).drop(rows))
-    found = per_key.drop(rows)
-
-    columns = [*df.columns, *[c for c in found.columns if c != key]]
-    keyed = df.filter(F.col(key).isNotNull())
-    out = keyed.join(hot, key).select(columns).unionByName(
-        keyed.join(hot.select(key), key, "left_anti").join(found, key, how).select(columns)
-    )
-    if how == "left" and df.schema[key].nullable:
-        without = df.filter(F.col(key).isNull())
-        nulls = {f.name: F.lit(None).cast(f.dataType) for f in found.schema.fields if f.name != key}
-        out = out.unionByName(without.withColumns(nulls))
-    return out
+    payload = [c for c in per_key.columns if c not in (key, rows)]
+    values = F.struct(*payload)
+    hot = F.broadcast(per_key.filter(is_hot).select(key, values.alias("_hot")))
+    # Always 0, but not a constant: Spark would take a constant out of the join key.
+    home = F.least(F.col(rows), F.lit(0)).cast("int")
+    rest = per_key.select(key, home.alias("_place"), values.alias("_rest"))
+
+    spread = F.col("_hot").isNotNull() | F.col(key).isNull()
+    placed = df.join(hot, key, "left").withColumn("_place", F.when(spread, F.spark_partition_id() + 1).otherwise(0))
+    found = placed.join(rest, [key, "_place"], "left").withColumn("_found", F.coalesce("_hot", "_rest"))
+    if how == "inner":
+        found = found.filter(F.col("_found").isNotNull())
+    return found.select(*df.columns, *[F.col(f"_found.{c}").alias(c) for c in payload])
 
 
 # A product of two row counts outgrows a bigint long before a cluster runs out of rows.
