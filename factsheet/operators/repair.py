@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from factsheet.functions import text
 from factsheet.functions.measures import map_categories, row_count
@@ -33,28 +33,33 @@ def drop_columns(df: DataFrame, *columns: str) -> DataFrame:
     return df.drop(*columns)
 
 
+def _failed_columns(types: Mapping[str, str]) -> Column:
+    """Names of the columns whose text is there but does not read as its type."""
+
+    def failed(c: str) -> Column:
+        present = text.blank_to_null(c)
+        return F.when(present.isNotNull() & present.try_cast(types[c]).isNull(), F.lit(c))
+
+    return F.filter(F.array(*[failed(c) for c in types]), lambda name: name.isNotNull())
+
+
 def repair_types(df: DataFrame, types: Mapping[str, str], failed: str = "failed_columns") -> DataFrame:
     """Cast text columns, naming in ``failed`` those whose value did not read.
 
-    A blank is unknown rather than wrong: it becomes NULL and does not fail. One pass,
-    no shuffle; take the rows apart with ``accepted`` and ``quarantined``.
+    A blank is unknown rather than wrong: it becomes NULL and does not fail. One pass, no
+    shuffle. Keep the clean rows with ``accepted``, look at the others with ``quarantined``.
     """
-    present = {c: text.blank_to_null(c) for c in types}
-    cast = {c: present[c].try_cast(t) for c, t in types.items()}
-    bad = F.filter(
-        F.array(*[F.when(present[c].isNotNull() & cast[c].isNull(), F.lit(c)) for c in types]),
-        lambda name: name.isNotNull(),
-    )
-    return df.withColumns({failed: bad, **cast})
+    cast = {c: text.blank_to_null(c).try_cast(t) for c, t in types.items()}
+    return df.withColumns({failed: _failed_columns(types), **cast})
 
 
 def accepted(repaired: DataFrame, failed: str = "failed_columns") -> DataFrame:
     return repaired.filter(F.size(failed) == 0).drop(failed)
 
 
-def quarantined(repaired: DataFrame, raw: DataFrame, key: str, failed: str = "failed_columns") -> DataFrame:
-    """Raw rows that failed, with the names of the columns at fault."""
-    return raw.join(repaired.filter(F.size(failed) > 0).select(key, failed), key)
+def quarantined(df: DataFrame, types: Mapping[str, str], failed: str = "failed_columns") -> DataFrame:
+    """Rows as they came that ``repair_types`` would fail, with the columns at fault."""
+    return df.withColumn(failed, _failed_columns(types)).filter(F.size(failed) > 0)
 
 
 def fill_from_sibling(df: DataFrame, group: str, value: str, order_by: str) -> DataFrame:

@@ -53,7 +53,8 @@ def test_repair_types_takes_blank_as_unknown(spark):
     raw = spark.createDataFrame(
         [(1, "12.5", "3"), (2, "", " "), (3, "abc", "x"), (4, None, "4"), (5, "0", "5.5")], "id int, income string, n string"
     )
-    repaired = repair.repair_types(raw, {"income": "decimal(18,2)", "n": "int"})
+    types = {"income": "decimal(18,2)", "n": "int"}
+    repaired = repair.repair_types(raw, types)
     found = {r.id: (r.income, r.n, r.failed_columns) for r in repaired.collect()}
     assert found == {
         1: (Decimal("12.50"), 3, []),
@@ -65,7 +66,7 @@ def test_repair_types_takes_blank_as_unknown(spark):
     good = repair.accepted(repaired)
     assert dict(good.dtypes) == {"id": "int", "income": "decimal(18,2)", "n": "int"}
     assert sorted(r.id for r in good.collect()) == [1, 2, 4]
-    bad = repair.quarantined(repaired, raw, "id")
+    bad = repair.quarantined(raw, types)
     assert {r.id: (r.income, r.failed_columns) for r in bad.collect()} == {3: ("abc", ["income", "n"]), 5: ("0", ["n"])}
 
 
