@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -19,8 +19,29 @@ from factsheet.functions.measures import (
     weighted_flags,
 )
 
+# Default bounds of the amount buckets, in currency.
+HIGH_AMOUNT = 500
+MEDIUM_AMOUNT = 100
+# Default bounds of the account-age buckets, in days.
+AGE_BOUNDS = (14, 60, 180)
+# Weight of each risk rule.
+RULE_WEIGHTS = {
+    "new_device": 25,
+    "new_location": 20,
+    "failed_logins": 15,
+    "young_account": 20,
+    "address_mismatch": 20,
+}
+# Upper bounds and labels of the score bands.
+SCORE_BANDS = (
+    (1, "0 (no signals)"),
+    (30, "1-29 (low)"),
+    (60, "30-59 (medium)"),
+)
+TOP_BAND = "60+ (high)"
+
 
-def amount_bucket(amount: Column | str = "transaction_amount", *, high: int = 500, medium: int = 100) -> Column:
+def amount_bucket(amount: Column | str = "transaction_amount", *, high: int = HIGH_AMOUNT, medium: int = MEDIUM_AMOUNT) -> Column:
     return bucketize(
         amount,
         at_least=[(high, f"high (>={high})"), (medium, f"medium ({medium}-{high - 1})")],
@@ -28,7 +49,7 @@ def amount_bucket(amount: Column | str = "transaction_amount", *, high: int = 50
     ).alias("amount_bucket")
 
 
-def account_age_bucket(age: Column | str = "account_age_days", *, bounds: tuple[int, int, int] = (14, 60, 180)) -> Column:
+def account_age_bucket(age: Column | str = "account_age_days", *, bounds: tuple[int, int, int] = AGE_BOUNDS) -> Column:
     a, b, c = bounds
     return bucketize(
         age,
@@ -72,7 +93,7 @@ def lift(df: DataFrame, by: Column | str, flag: str = "is_fraud") -> DataFrame:
     )
 
 
-def combined_signal_rate(df: DataFrame, *, high: int = 500, reliable_from: int = 30) -> DataFrame:
+def combined_signal_rate(df: DataFrame, *, high: int = HIGH_AMOUNT, reliable_from: int = 30) -> DataFrame:
     level = bucketize("transaction_amount", at_least=[(high, "high")], otherwise="normal").alias("amount_bucket")
     return rate_by(df, "is_new_device", "is_new_location", level, reliable_from=reliable_from)
 
@@ -115,14 +136,15 @@ def tier_sanity(tiers: DataFrame) -> DataFrame:
     )
 
 
-def default_rules() -> list[tuple[Column, int]]:
-    return [
-        (F.col("is_new_device"), 25),
-        (F.col("is_new_location"), 20),
-        (F.col("failed_login_attempts") >= 2, 15),
-        (F.col("account_age_days") < 14, 20),
-        (F.col("shipping_billing_mismatch"), 20),
-    ]
+def default_rules(weights: Mapping[str, int] = RULE_WEIGHTS) -> list[tuple[Column, int]]:
+    conditions = {
+        "new_device": F.col("is_new_device"),
+        "new_location": F.col("is_new_location"),
+        "failed_logins": F.col("failed_login_attempts") >= 2,
+        "young_account": F.col("account_age_days") < 14,
+        "address_mismatch": F.col("shipping_billing_mismatch"),
+    }
+    return [(conditions[name], weight) for name, weight in weights.items()]
 
 
 def composite_score(df: DataFrame, rules: Sequence[tuple[Column, int]] | None = None) -> DataFrame:
@@ -133,13 +155,7 @@ def composite_score(df: DataFrame, rules: Sequence[tuple[Column, int]] | None =
 def score_band_validation(scored: DataFrame) -> DataFrame:
     """Rate per score band, lowest band first: a working score makes it rise."""
     score = F.col("composite_risk_score")
-    band = (
-        F.when(score == 0, "0 (no signals)")
-        .when(score < 30, "1-29 (low)")
-        .when(score < 60, "30-59 (medium)")
-        .otherwise("60+ (high)")
-        .alias("score_band")
-    )
+    band = bucketize(score, below=SCORE_BANDS, otherwise=TOP_BAND).alias("score_band")
     return (
         scored.groupBy(band)
         .agg(
