@@ -40,9 +40,13 @@ def lookup(
 
     Without hot keys the broadcast is empty and Spark drops it while running.
     """
-    total = per_key.agg(F.sum(rows)).scalar()
-    is_hot = F.col(rows) > F.greatest(F.lit(float(hot_rows)), total / _MAX_HOT_KEYS)
     payload = [c for c in per_key.columns if c not in (key, rows)]
+    # The same filter and columns wherever ``per_key`` is used: Spark then runs its shuffles
+    # once, where it would read the source again for a version with fewer columns.
+    per_key = per_key.filter(F.col(key).isNotNull())
+    kept = [F.count(c).alias(f"n_{i}") for i, c in enumerate(payload)]
+    total = per_key.agg(F.struct(F.sum(rows).alias("rows"), *kept)).scalar()["rows"]
+    is_hot = F.col(rows) > F.greatest(F.lit(float(hot_rows)), total / _MAX_HOT_KEYS)
     values = F.struct(*payload)
     hot = F.broadcast(per_key.filter(is_hot).select(key, values.alias("_hot")))
     # Always 0, but not a constant: Spark would take a constant out of the join key.

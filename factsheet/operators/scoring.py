@@ -73,9 +73,16 @@ def loan_to_income(applicants: DataFrame, loan: str, income: str) -> DataFrame:
 
 
 def alt_combined(applicants: DataFrame, key: str, sources: Mapping[str, DataFrame]) -> DataFrame:
-    """Applicants with the total of each source, a missing source counting 0."""
+    """Applicants with the total of each source, a missing source counting 0.
+
+    The test of presence adds nothing to the total, which is NULL without it. It makes
+    whatever uses totals also use presence, so that Spark runs one aggregate for both.
+    """
     combined = combine_sources(applicants, key, sources)
-    return combined.withColumns({f"total_{n}": F.coalesce(f"total_{n}", F.lit(Decimal(0))) for n in sources})
+    zero = F.lit(Decimal(0))
+    return combined.withColumns(
+        {f"total_{n}": F.when(F.col(f"has_{n}"), F.coalesce(f"total_{n}", zero)).otherwise(zero) for n in sources}
+    )
 
 
 def spend_overview(applicants: DataFrame, key: str, sources: Mapping[str, DataFrame]) -> DataFrame:

@@ -41,7 +41,9 @@ def entity_ratio_spread(part: DataFrame, whole: DataFrame, pattern: str) -> Data
         .agg(row_count().alias("pairs"), F.min(value).alias("_lo"), F.max(value).alias("_hi"), F.avg(value).alias("_mean"))
     )
     days = whole.filter(named).select("entity", "day", value.alias("whole"))
-    sized = parts.join(days.groupBy("entity").agg(row_count().alias("_days")), "entity")
+    # The number of days, with the value in use: Spark then runs the shuffles of ``whole`` once.
+    sizes = days.groupBy("entity").agg(F.greatest(row_count(), F.count("whole")).alias("_days"))
+    sized = parts.join(sizes, "entity")
     w = lookup(days, sized, "entity", "_days", how="inner")
     low, mean, high = (F.col(c) / F.nullif(F.col("whole"), F.lit(0)) * 100 for c in ("_lo", "_mean", "_hi"))
     # A negative denominator swaps the bounds.
@@ -80,8 +82,10 @@ def with_entity_total(
     p = of_entities(part, entities).select("entity", "day", F.col("value").alias("part_value"))
     w = whole.select("entity", "day", F.col("value").alias("whole_value"))
     joined = p.join(w, ["entity", "day"])
+    # The number of rows, with both series in use: Spark then runs the shuffles of the join once.
+    rows = F.greatest(row_count(), F.count("whole_value"))
     totals = joined.groupBy("entity").agg(
-        F.sum(F.col("part_value").cast(as_type)).alias("entity_total"), row_count().alias("_rows")
+        F.sum(F.col("part_value").cast(as_type)).alias("entity_total"), rows.alias("_rows")
     )
     return lookup(joined, totals, "entity", "_rows", how="inner").select("day", "whole_value", "entity", "part_value", "entity_total")
 
