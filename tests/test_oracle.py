@@ -5,6 +5,7 @@ import os
 import pytest
 
 import __spark_entry__ as contract
+from factsheet.plans import catalog
 import compare
 
 FOLDER = os.environ.get("FACTSHEET_TEST_DIR", "/root/testdata/sf0.01")
@@ -15,7 +16,7 @@ def con():
     return compare.connect(FOLDER)
 
 
-@pytest.mark.parametrize("name", sorted(contract.queries()))
+@pytest.mark.parametrize("name", sorted(catalog.queries()))
 def test_matches_sql(spark, con, name):
     sql = contract.oracle_sql()[name]
     df = contract.queries()[name](spark, FOLDER)

@@ -5,6 +5,7 @@ import re
 import pytest
 
 import __spark_entry__ as contract
+from factsheet.plans import catalog
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -25,7 +26,7 @@ def plan(spark):
 ONE_TASK = re.compile(r"(Window|Sort)[^\n]*\n[^\n]*Exchange SinglePartition")
 
 
-@pytest.mark.parametrize("name", sorted(contract.queries()))
+@pytest.mark.parametrize("name", sorted(catalog.queries()))
 def test_no_whole_table_in_one_task(plan, name):
     text = plan(name)
     assert not ONE_TASK.search(text)
