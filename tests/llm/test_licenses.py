@@ -1,0 +1,64 @@
+import re
+
+import pytest
+
+from factsheet.llm import licenses, queries
+
+SF = "/root/testdata/sf0.1"
+MIT = [licenses.SENTENCES[k] for k in ("mit-grant", "mit-condition", "as-is-software")]
+
+
+def names(text):
+    return [x[0] for x in licenses.Scanner().licences(text)]
+
+
+@pytest.mark.parametrize(
+    "text, found",
+    [
+        (None, []),
+        ("", []),
+        ("Licensed under CC BY-NC 4.0.", ["CC-BY-NC-4.0"]),
+        ("Some words.\nreleased under\n the mit LICENSE.\nMore", ["MIT"]),
+        ("It was released under the MIT License.", []),
+        ("Released under the MIT License terms.", []),
+        ("Licensed under the Apache License, Version 2.0. x. Licensed under the Apache License, Version 2.0.", ["Apache-2.0", "Apache-2.0"]),
+        (" ".join(MIT), ["MIT"]),
+        ("\n".join(MIT[:2]), ["MIT"]),
+        (MIT[0] + " " + MIT[2], []),
+        (MIT[1] + " " + MIT[0], []),
+        (MIT[0] + " One more. And one. " + MIT[1], ["MIT"]),
+        (MIT[0] + " One more. And one. Third. " + MIT[1], []),
+        (" ".join(licenses.SENTENCES[k] for k in ("bsd-grant", "bsd-source", "bsd-binary")), ["BSD-2-Clause"]),
+        (" ".join(licenses.SENTENCES[k] for k in ("bsd-grant", "bsd-source", "bsd-binary", "bsd-names")), ["BSD-3-Clause"]),
+    ],
+)
+def test_rules(text, found):
+    assert names(text) == found
+
+
+def test_every_sentence_is_known_and_has_an_anchor():
+    scanner = licenses.Scanner()
+    for name, sentence in licenses.SENTENCES.items():
+        assert [x[0] for x in scanner.sentences("Before.\n" + sentence.upper() + "\nAfter")] == [name]
+    assert {s for rules in licenses.RULES.values() for r in rules for s in r} <= set(licenses.SENTENCES)
+
+
+def test_query_against_plain_search(spark):
+    rows = queries.QUERIES["op9_licenses"](spark, SF).join(spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text"), "doc_id").collect()
+    single = {licenses.normal(licenses.SENTENCES[r[0]]): name for name, rules in licenses.RULES.items() for r in rules if len(r) == 1}
+    hits = 0
+    for r in rows:
+        pieces = re.split(r"(?:[.!?:;](?=\s|$)|\n)", r.text)
+        want = [single[licenses.normal(p)] for p in pieces if licenses.normal(p) in single]
+        assert (r.licences, r.n_matches) == (" ".join(sorted(set(want))), len(want))
+        if want:
+            hits += 1
+            assert licenses.normal(r.text[r.begins : r.ends]) in single
+    assert len(rows) == 10_000 and hits > 100
+
+
+def test_odd_tables(spark):
+    df = spark.createDataFrame([(None, None, 1), (1, "Licensed under CC BY 4.0. " + "x " * 100_000, 1), (1, "", 1)], "doc_id long, text string, licences int")
+    got = licenses.scan(df).orderBy("doc_id").collect()
+    assert got[0].licences == [] and sorted(len(r.licences) for r in got) == [0, 0, 1]
+    assert licenses.scan(df.limit(0)).count() == 0
