@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from factsheet.llm.common import WORD, set_aside
+from factsheet.llm.common import WORD, checkpointed, set_aside
 
 
 ADDED = ("size", "source_size", "target", "taken")
@@ -82,7 +82,7 @@ def mix(documents: DataFrame, *, weights: Sequence[int] = (1, 2, 3), cap: int =
         .withColumn("_order", start)
         .withColumn("_shard", F.pmod(start, F.lit(shards)).cast("int"))
     )
-    per_shard = sized.groupBy("_src", "_shard").agg(F.sum("size").alias("_words"), F.first("source").alias("source"))
+    per_shard = checkpointed(sized.groupBy("_src", "_shard").agg(F.sum("size").alias("_words"), F.first("source").alias("source")))
     sources = targets(per_shard.groupBy("_src").agg(F.sum("_words").alias("words"), F.first("source").alias("source")), weights, cap)
     sources = sources.withColumn("_block", F.greatest(F.lit(1), F.ceil(F.sum("words").over(Window.partitionBy()) / blocks)).cast("long"))
     cut = per_shard.drop("source").join(sources, "_src").withColumn("_n", F.ceil(F.col("_words") / F.col("_block")).cast("long"))

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from factsheet.llm.common import LOWER, UPPER, spread_join
+from factsheet.llm.common import LOWER, UPPER, checkpointed, spread_join
 
 #: Rules of the query: fixed values.
 RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
@@ -48,13 +48,13 @@ def reputation(outcomes: DataFrame, hosts: DataFrame, z: float) -> DataFrame:
     """
     labels = F.split("host", r"\.")
     counted = outcomes.groupBy("host").agg(F.count("bad").alias("n"), F.sum(F.col("bad").cast("long")).alias("k"))
-    units = (
+    units = checkpointed(
         hosts.join(counted, "host", "left").na.fill(0, ["n", "k"])
         .withColumn("domain", F.array_join(F.slice(labels, F.greatest(F.size(labels) - 1, F.lit(1)), 2), "."))
         .withColumn("suffix", F.element_at(labels, -1))
     )
-    domains = units.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
-    suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
+    domains = checkpointed(units.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k")))
+    suffixes = checkpointed(domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k")))
     overall = suffixes.agg(((F.coalesce(F.sum("k"), F.lit(0)) + 1) / (F.coalesce(F.sum("n"), F.lit(0)) + 10)).alias("m")).scalar()
 
     def shrunk(rows: DataFrame, mean: Column) -> DataFrame:
@@ -63,7 +63,7 @@ def reputation(outcomes: DataFrame, hosts: DataFrame, z: float) -> DataFrame:
         rho = F.greatest(F.lit(0.001), F.least(F.lit(0.5), F.coalesce(F.try_divide(spread, F.sum(n * (n - 1) * m * (1 - m))), F.lit(0.5))))
         return rows.withColumn("s", rows.agg((1 / rho - 1).alias("s")).scalar()).withColumn("rate", (F.col("s") * m + k) / (F.col("s") + n))
 
-    by_suffix = shrunk(suffixes, overall).select("suffix", F.col("rate").alias("above"))
+    by_suffix = shrunk(suffixes, overall).select("suffix", F.col("rate").alias("above"))  # each level reads what was counted once
     by_domain = shrunk(spread_join(domains, by_suffix, "suffix", ["domain"]), F.col("above")).select("domain", F.col("rate").alias("above"))
     by_host = shrunk(spread_join(units, by_domain, "domain", ["host"]), F.col("above"))
     rate = F.col("rate")
