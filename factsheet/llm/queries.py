@@ -105,15 +105,15 @@ ORACLES: dict[str, str] = {
         ), suffixes AS (
             SELECT suffix, sum(n) AS n, sum(k) AS k, (SELECT (sum(k) + 1) / (sum(n) + 10) FROM domains) AS m FROM domains GROUP BY suffix
         ), s1 AS (
-            SELECT 1 / greatest(0.001, least(0.5, coalesce((sum((k - n * m) ** 2) - sum(n * m * (1 - m))) / nullif(sum(n * (n - 1) * m * (1 - m)), 0), 0.5))) - 1 AS s FROM suffixes
+            SELECT 1 / greatest(0.001, least(0.5, coalesce((sum((k - n * m) ** 2) - sum(n * m * (1 - m))) / nullif(sum(n * (n - 1) * m * (1 - m)), 0), 0.1))) - 1 AS s FROM suffixes
         ), domains2 AS (
             SELECT d.domain, d.n, d.k, (s * x.m + x.k) / (s + x.n) AS m FROM domains d JOIN suffixes x USING (suffix), s1
         ), s2 AS (
-            SELECT 1 / greatest(0.001, least(0.5, coalesce((sum((k - n * m) ** 2) - sum(n * m * (1 - m))) / nullif(sum(n * (n - 1) * m * (1 - m)), 0), 0.5))) - 1 AS s FROM domains2
+            SELECT 1 / greatest(0.001, least(0.5, coalesce((sum((k - n * m) ** 2) - sum(n * m * (1 - m))) / nullif(sum(n * (n - 1) * m * (1 - m)), 0), 0.1))) - 1 AS s FROM domains2
         ), hosts2 AS (
             SELECT h.host, h.n, h.k, (s * x.m + x.k) / (s + x.n) AS m FROM hosts h JOIN domains2 x USING (domain), s2
         ), s3 AS (
-            SELECT 1 / greatest(0.001, least(0.5, coalesce((sum((k - n * m) ** 2) - sum(n * m * (1 - m))) / nullif(sum(n * (n - 1) * m * (1 - m)), 0), 0.5))) - 1 AS s FROM hosts2
+            SELECT 1 / greatest(0.001, least(0.5, coalesce((sum((k - n * m) ** 2) - sum(n * m * (1 - m))) / nullif(sum(n * (n - 1) * m * (1 - m)), 0), 0.1))) - 1 AS s FROM hosts2
         ), standing AS (
             SELECT host, rate - 2 * sqrt(rate * (1 - rate) / (s + n + 1)) AS bad_at_least FROM (SELECT host, n, s, (s * m + k) / (s + n) AS rate FROM hosts2, s3)
         ), rules(verdict, rule, on_host, on_path) AS (

@@ -43,7 +43,7 @@ def reputation(outcomes: DataFrame, hosts: DataFrame, z: float) -> DataFrame:
     beta-binomial posterior whose prior has the mean of the level above: all pages (as if ten more were labelled,
     one of them bad), suffix (last label of the host), registered domain (last two), host. A level's prior strength comes from the spread of its units by
     moments: rho = (sum (k - n m)^2 - sum n m (1 - m)) / sum n (n - 1) m (1 - m), strength 1 / rho - 1, with
-    rho held between 0.001 and 0.5. The bound is the posterior mean less ``z`` standard deviations. A host
+    rho held between 0.001 and 0.5, and 0.1 where no unit has two labelled pages. The bound is the posterior mean less ``z`` standard deviations. A host
     without labelled pages has its domain's rate with no more than the prior's weight.
     """
     labels = F.split("host", r"\.")
@@ -60,7 +60,7 @@ def reputation(outcomes: DataFrame, hosts: DataFrame, z: float) -> DataFrame:
     def shrunk(rows: DataFrame, mean: Column) -> DataFrame:
         rows, m, n, k = rows.withColumn("m", mean), F.col("m"), F.col("n"), F.col("k")
         spread = F.sum((k - n * m) * (k - n * m)) - F.sum(n * m * (1 - m))
-        rho = F.greatest(F.lit(0.001), F.least(F.lit(0.5), F.coalesce(F.try_divide(spread, F.sum(n * (n - 1) * m * (1 - m))), F.lit(0.5))))
+        rho = F.greatest(F.lit(0.001), F.least(F.lit(0.5), F.coalesce(F.try_divide(spread, F.sum(n * (n - 1) * m * (1 - m))), F.lit(0.1))))
         return rows.withColumn("s", rows.agg((1 / rho - 1).alias("s")).scalar()).withColumn("rate", (F.col("s") * m + k) / (F.col("s") + n))
 
     by_suffix = shrunk(suffixes, overall).select("suffix", F.col("rate").alias("above"))  # each level reads what was counted once
