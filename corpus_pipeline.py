@@ -40,7 +40,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """``doc_id``, ``lang``, ``source``, ``n_tokens`` and ``ids`` of every document."""
     ship(spark)
-    return byte_bpe.encoded(docs, keep=["doc_id", "lang", "source"]).drop("offsets")
+    return byte_bpe.encoded(docs, keep=["doc_id", "lang", "source"], offsets=False)
 
 
 STAGES = [("quality rules", rules), ("quality classifier", classifier), ("near-duplicates", near_duplicates), ("mix", mix), ("tokens", tokens)]

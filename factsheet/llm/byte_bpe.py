@@ -213,8 +213,8 @@ def chunks(texts: Sequence[str | None], chars: int = 1 << 20) -> Iterator[list[s
         yield held
 
 
-def encoded(documents: DataFrame, *, path: str | None = None, keep: Sequence[str] | None = None) -> DataFrame:
-    """``keep`` (all columns but ``text`` by default) with ``n_tokens``, ``ids`` and ``offsets`` (bytes) of each whole text.
+def encoded(documents: DataFrame, *, path: str | None = None, keep: Sequence[str] | None = None, offsets: bool = True) -> DataFrame:
+    """``keep`` (all columns but ``text`` by default) with ``n_tokens``, ``ids`` and ``offsets`` (bytes, if asked for) of each whole text.
 
     Null and empty texts have no tokens; rows are encoded each, also repeated ones; ``ids`` is by the rank file
     at ``path``, which every machine must have. No special tokens: their strings are ordinary text.
@@ -223,10 +223,10 @@ def encoded(documents: DataFrame, *, path: str | None = None, keep: Sequence[str
 
     def run(texts):
         made = [x for part in chunks(texts) for x in codec(path).encode(part)]
-        return [[len(ids) for ids, _ in made], [ids for ids, _ in made], [offsets for _, offsets in made]]
+        return [[len(ids) for ids, _ in made], [ids for ids, _ in made], *([[at for _, at in made]] if offsets else [])]
 
     keep = [c for c in documents.columns if c != "text"] if keep is None else keep
-    return map_text(documents, "n_tokens long, ids array<int>, offsets array<long>", run, keep)
+    return map_text(documents, "n_tokens long, ids array<int>" + ", offsets array<long>" * offsets, run, keep)
 
 
 def digests(documents: DataFrame, *, path: str | None = None) -> DataFrame:

@@ -8,13 +8,16 @@ import zipfile
 from collections.abc import Callable, Iterable, Iterator, Sequence
 from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import StructType
 
 #: A word is a run of anything but the six ASCII white-space characters; ``bytes.split()`` cuts at the same ones.
 WORD = r"[^\x20\x09-\x0D]+"
+_BATCH_BYTES = 4 << 20
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -81,7 +84,8 @@ def set_aside(df: DataFrame, names: Iterable[str]) -> tuple[DataFrame, list[Colu
 def map_text(df: DataFrame, added: str, compute: Callable[[list[str | None]], list], keep: Sequence[str] | None = None, column: str = "text") -> DataFrame:
     """``keep`` (all columns by default) and the columns ``added`` (DDL) that ``compute`` makes of a batch of texts.
 
-    An added column replaces one of its name. Rows stay where they are: no shuffle.
+    An added column replaces one of its name. Rows stay where they are: no shuffle. A batch has texts of about
+    ``_BATCH_BYTES``, or one that is longer, so what a task holds does not depend on how long texts are.
     """
     new = StructType.fromDDL(added)
     names = {f.name.lower() for f in new}
@@ -90,9 +94,13 @@ def map_text(df: DataFrame, added: str, compute: Callable[[list[str | None]], li
     order = [c for c in source.columns if c in kept]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            made = compute(batch.column(column).to_pylist())
-            arrays = [pa.array(x, type=to_arrow_type(f.dataType)) for x, f in zip(made, new)]
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in order], *arrays], names=[*order, *new.names])
+        for whole in batches:
+            sizes = pc.fill_null(pc.binary_length(whole.column(column)), 0).to_numpy(zero_copy_only=False)
+            part = np.cumsum(sizes) // _BATCH_BYTES
+            cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(part)]
+            for batch in (whole.slice(a, b - a) for a, b in zip(cuts, cuts[1:])):
+                made = compute(batch.column(column).to_pylist())
+                arrays = [pa.array(x, type=to_arrow_type(f.dataType)) for x, f in zip(made, new)]
+                yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in order], *arrays], names=[*order, *new.names])
 
     return source.mapInArrow(run, StructType([*[f for f in source.schema if f.name in kept], *new]))
