@@ -106,7 +106,7 @@ def starts(code_points: np.ndarray, edges: np.ndarray) -> np.ndarray:
 class Codec:
     """Ranks of a tiktoken file, by which text is encoded and ids are decoded."""
 
-    def __init__(self, path: str, cache: int = 1 << 18) -> None:
+    def __init__(self, path: str, cache: int = 1 << 16) -> None:
         with open(path, "rb") as f:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.bytes = [b""] * (max(self.ranks.values()) + 1)

@@ -27,7 +27,10 @@ def words(text: str | None) -> list[bytes]:
 
 
 def ship(spark: SparkSession) -> None:
-    """Give this package to Python on the executors, once a session, as ``--py-files`` would."""
+    """Give this package to Python on the executors, once a session, as ``--py-files`` would.
+
+    Rows with texts travel in batches of ``_BATCH_BYTES`` too, where the session does not ask for smaller ones.
+    """
     context = spark.sparkContext
     if getattr(context, "_shipped_factsheet", False):
         return
@@ -37,6 +40,8 @@ def ship(spark: SparkSession) -> None:
         for source in sorted(package.rglob("*.py")):
             z.write(source, source.relative_to(package.parent))
     context.addPyFile(str(archive))
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == "67108864b":  # Spark's own default
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(2 * _BATCH_BYTES))
     context._shipped_factsheet = True
 
 

@@ -17,13 +17,13 @@ _FORM = bytes(65 if 65 <= c <= 90 else 97 if 97 <= c <= 122 or c >= 128 else 48
 _RUN = re.compile(rb"(.)\1+", re.S)
 
 
-@lru_cache(maxsize=200_000)
+@lru_cache(maxsize=30_000)
 def form(word: bytes) -> bytes:
     """A word without its letters: runs of lower, upper case and digits as a, A and 0, other runs as one sign."""
     return _RUN.sub(rb"\1", word.translate(_FORM))
 
 
-@lru_cache(maxsize=500_000)
+@lru_cache(maxsize=50_000)
 def bucket(ngram: tuple[bytes, ...], buckets: int) -> int:
     return zlib.crc32(b"\x00".join(ngram)) % buckets
 
