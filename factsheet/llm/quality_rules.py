@@ -225,5 +225,11 @@ def judge(documents: DataFrame, labels: DataFrame, **options) -> DataFrame:
 def kept_documents(documents: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """The rows of ``documents`` that are kept, with their columns."""
     forest = fit(rule_statistics(documents, keep=["doc_id"]), labels, **options)
-    plain, columns = set_aside(documents, [*STATS, "base_failed", "kept", "anomaly"])
-    return verdicts(rule_statistics(plain), forest, plain.columns).filter("kept").select(*columns)
+    plain, columns = set_aside(documents, ["kept"])
+
+    def run(texts):
+        stats = pd.DataFrame([statistics_of(t) for t in texts], columns=STATS)
+        failed = (stats["n_words"] < 10) | (100 * stats["n_repeat_words"] > 20 * stats["n_words"])
+        return [(~failed & (forest.score(features(stats)) < forest.threshold)).tolist()]
+
+    return map_text(plain, "kept boolean", run).filter("kept").select(*columns)
