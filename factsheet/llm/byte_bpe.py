@@ -103,10 +103,14 @@ def starts(code_points: np.ndarray, edges: np.ndarray) -> np.ndarray:
     return (run & (now != before) & (before != SPACE)) | (white & (~was_white | follows)) | begun | (symbols == EDGE)
 
 
+#: Above any rank.
+NO_RANK = 1 << 30
+
+
 class Codec:
     """Ranks of a tiktoken file, by which text is encoded and ids are decoded."""
 
-    def __init__(self, path: str, cache: int = 1 << 16) -> None:
+    def __init__(self, path: str, cache: int = 1 << 17) -> None:
         with open(path, "rb") as f:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.bytes = [b""] * (max(self.ranks.values()) + 1)
@@ -122,29 +126,85 @@ class Codec:
         self.flat = np.frombuffer(b"".join(self.bytes), dtype=np.uint8)
         self.length = np.array([len(t) for t in self.bytes], dtype=np.int64)
         self.first = np.cumsum(self.length) - self.length
-        self.piece = lru_cache(maxsize=cache)(self.merged)
-
-    def merged(self, piece: bytes) -> tuple[int, ...]:
-        """Ids of a pre-token: the pair of the lowest rank is merged, the leftmost first, while any can be."""
-        if (whole := self.ranks.get(piece)) is not None:
-            return (whole,)
-        if len(piece) > 256:
-            return self._merged_long(piece)
-        none, get = 1 << 40, self.pairs.get
-        ids = [self.single[b] for b in piece]
-        ranks = [get((a << 20) | b, none) for a, b in zip(ids, ids[1:])]
-        while ranks and (best := min(ranks)) < none:
-            i = ranks.index(best)
-            ids[i] = best
-            del ids[i + 1], ranks[i]
-            if i:
-                ranks[i - 1] = get((ids[i - 1] << 20) | best, none)
-            if i < len(ranks):
-                ranks[i] = get((best << 20) | ids[i + 1], none)
-        return tuple(ids)
+        keys = np.array(sorted(self.pairs), dtype=np.int64)
+        self.pair_keys, self.pair_ranks = keys, np.array([self.pairs[k] for k in keys.tolist()], dtype=np.int64)
+        self.most, self.known = cache, {}
+
+    def ids_of(self, pieces: list[bytes]) -> list[tuple[int, ...]]:
+        """Ids of each pre-token; those not in the cache are merged together, and the cache begins anew when it is full."""
+        new = [p for p in set(pieces) if p not in self.known]
+        if len(self.known) + len(new) > self.most:
+            self.known.clear()
+            new = list(set(pieces))
+        self.known.update(zip(new, self.merged(new)))
+        return list(map(self.known.__getitem__, pieces))
+
+    def merged(self, pieces: list[bytes]) -> list[tuple[int, ...]]:
+        """Ids of distinct pre-tokens: in each the pair of the lowest rank is merged, the leftmost first, while any can be."""
+        out: list[tuple[int, ...] | None] = [None] * len(pieces)
+        short = []
+        for i, piece in enumerate(pieces):
+            if (whole := self.ranks.get(piece)) is not None:
+                out[i] = (whole,)
+            elif len(piece) > 64:
+                out[i] = self._merged_long(piece)
+            else:
+                short.append(i)
+        for i, ids in zip(short, self._merged_together([pieces[i] for i in short])):
+            out[i] = ids
+        return out
+
+    def _rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        key = (left << 20) | right
+        at = np.minimum(np.searchsorted(self.pair_keys, key), len(self.pair_keys) - 1)
+        return np.where(self.pair_keys[at] == key, self.pair_ranks[at], NO_RANK)
+
+    def _merged_together(self, pieces: list[bytes]) -> list[tuple[int, ...]]:
+        """One merge a round in every piece that has one; pieces without leave."""
+        if not pieces:
+            return []
+        sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        ids = np.array(self.single, np.int64)[np.frombuffer(b"".join(pieces), np.uint8)]
+        owner = np.repeat(np.arange(len(pieces)), sizes)
+        last = np.zeros(len(ids), bool)
+        last[np.cumsum(sizes) - 1] = True
+        rank = np.append(self._rank(ids[:-1], ids[1:]), NO_RANK)
+        rank[last] = NO_RANK
+        done: list[tuple[np.ndarray, np.ndarray]] = []
+        while len(ids):
+            first = np.flatnonzero(np.concatenate([[True], last[:-1]]))
+            best = np.minimum.reduceat((rank << 32) | np.arange(len(ids)), first)
+            ended = (best >> 32) == NO_RANK
+            if ended.any():
+                gone = np.repeat(ended, np.diff(np.append(first, len(ids))))
+                done.append((owner[gone], ids[gone]))
+                shift = np.cumsum(gone)
+                ids, owner, last, rank = ids[~gone], owner[~gone], last[~gone], rank[~gone]
+                best = best[~ended]
+            at = best & 0xFFFFFFFF
+            if ended.any():
+                at = at - shift[at]
+            if not len(at):
+                break
+            ids[at] = rank[at]
+            last[at] = last[at + 1]
+            stay = np.ones(len(ids), bool)
+            stay[at + 1] = False
+            ids, owner, last, rank = ids[stay], owner[stay], last[stay], rank[stay]
+            at = at - np.arange(len(at))
+            after = at[~last[at]]
+            rank[at] = NO_RANK
+            rank[after] = self._rank(ids[after], ids[after + 1])
+            before = at[at > 0] - 1
+            before = before[~last[before]]
+            rank[before] = self._rank(ids[before], ids[before + 1])
+        owner, ids = (np.concatenate(x) for x in zip(*done))
+        order = np.argsort(owner, kind="stable")
+        flat, ends = ids[order].tolist(), np.cumsum(np.bincount(owner, minlength=len(pieces))).tolist()
+        return [tuple(flat[a:b]) for a, b in zip([0, *ends], ends)]
 
     def _merged_long(self, piece: bytes) -> tuple[int, ...]:
-        """The same with a heap over a linked list, in n log n steps."""
+        """The same for a long one, with a heap over a linked list, in n log n steps."""
         ids: list[int] = [self.single[b] for b in piece]
         left, right = list(range(-1, len(ids) - 1)), [*range(1, len(ids)), -1]
         heap: list[tuple[int, int, int, int]] = []
@@ -181,9 +241,9 @@ class Codec:
         chars = np.flatnonzero(begin)
         cuts = at[chars].tolist()
         of_edge = np.searchsorted(chars, edges).tolist()
+        coded = self.ids_of([data[i:j] for i, j in zip(cuts, cuts[1:])])  # edges too, which nobody reads
         for a, b in zip(of_edge, of_edge[1:]):
-            pieces = [data[i:j] for i, j in zip(cuts[a + 1 : b], cuts[a + 2 : b + 1])]
-            ids = np.array(array("I", chain.from_iterable(map(self.piece, pieces))), dtype=np.uint32)
+            ids = np.array(array("I", chain.from_iterable(coded[a + 1 : b])), dtype=np.uint32)
             yield ids, np.cumsum(self.length[ids]) - self.length[ids]
 
     def decode(self, ids: np.ndarray, offsets: np.ndarray) -> bytes:
