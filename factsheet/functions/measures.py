@@ -52,7 +52,13 @@ def mean(total: Column, n: Column) -> Column:
 def int_avg(value: Column | str) -> Column:
     """Mean of integers truncated to an integer, as integer ``AVG`` does on some hosts."""
     value = as_column(value)
-    return F.call_function("div", F.sum(value), F.nullif(F.count(value), F.lit(0)))
+    return int_quotient(F.sum(value), F.count(value))
+
+
+def int_quotient(total: Column, n: Column) -> Column:
+    """``total / n`` truncated, as a decimal: exact where ``div`` would wrap around; NULL when ``n`` is 0."""
+    total, n = total.cast("decimal(38,0)"), F.nullif(n.cast("decimal(38,0)"), F.lit(0).cast("decimal(38,0)"))
+    return ((total - total % n) / n).cast("decimal(38,0)")
 
 
 def safe_ratio(part: Column | str, whole: Column | str) -> Column:

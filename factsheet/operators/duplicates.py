@@ -5,76 +5,34 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window, functions as F
-from pyspark.sql.types import ArrayType, DateType, NumericType, TimestampNTZType, TimestampType
 
-from factsheet.functions.measures import row_count
+from factsheet.sources.publish import checkpointed
 
-_ROWS_PER_CELL = 1_000_000
-_MAX_CELLS = 8192
 
-
-def _cell_bounds(df: DataFrame, order_by: str, rows_per_cell: int) -> list:
-    """Quantiles of the order column that cut the table into cells of ``rows_per_cell`` rows.
-
-    These, at most ``_MAX_CELLS``, are the only values that reach the driver. A table
-    that fits in one cell has none, and takes no pass to find them.
-    """
-    if not isinstance(df.schema[order_by].dataType, (NumericType, DateType, TimestampType, TimestampNTZType)):
-        raise ValueError(f"{order_by} must be a number, date or timestamp")
-    cells = min(_MAX_CELLS, -(-df.count() // rows_per_cell))
-    if cells < 2:
-        return []
-    marks = [i / cells for i in range(1, cells)]
-    found = df.agg(F.percentile_approx(order_by, marks, 10 * cells)).first()[0]
-    return sorted(set(found or []))
-
-
-def _with_cell(df: DataFrame, order_by: str, bounds: Sequence, name: str) -> DataFrame:
-    """Number of bounds at or below the order value, found by halving; -1 for NULL.
-
-    One projection per halving, each with one look-up in the constant array of bounds.
-    """
-    value = F.col(order_by)
-    # Read from one text, the array is a single constant in the plan.
-    marks = F.split(F.lit("|".join(map(str, bounds))), "[|]").cast(ArrayType(df.schema[order_by].dataType))
-    df = df.withColumn(name, F.when(value.isNull(), -1).otherwise(0))
-    step = 1 << (len(bounds).bit_length() - 1)
-    while step:
-        ahead = F.col(name) + step
-        # Past the end the look-up gives NULL and the step is not taken; so it is for a NULL value.
-        df = df.withColumn(name, F.when(value >= F.get(marks, ahead - 1), ahead).otherwise(F.col(name)))
-        step >>= 1
-    return df
-
-
-def number_in_group(
-    df: DataFrame, keys: Sequence[str], order_by: str, name: str = "row_num", *, rows_per_cell: int = _ROWS_PER_CELL
-) -> DataFrame:
+def number_in_group(df: DataFrame, keys: Sequence[str], order_by: str, name: str = "row_num", *, partitions: int | None = None) -> DataFrame:
     """``row_number`` per group for groups that may be too large for one task.
 
-    ``order_by`` is a unique column; NULL keys form a group. It is cut at its quantiles
-    into cells, rows are numbered inside (group, cell), and the rows in earlier cells of
-    the group are added. A cell holds about ``rows_per_cell`` rows of the whole table, so
-    no task gets more of a hot group than that. Counts per cell are combined before their
-    shuffle, and only cells that are not the first of their group are joined back.
+    ``order_by`` is a unique column; NULL keys form a group. Rows are dealt to ``partitions`` ranges of (keys,
+    ``order_by``), as many as the session shuffles to unless stated, and numbered inside (group, range); the rows
+    that a group has in earlier ranges are added. So a group of any size takes as many tasks as it fills ranges.
+    Spark's bounded sample sets the ranges, and the numbers do not depend on where they lie. The numbered rows are
+    kept in the shared folder, so that a lost task cannot deal them anew: the table is read once for the
+    sample and once for the rows.
     """
-    bounds = _cell_bounds(df, order_by, rows_per_cell)
-    if not bounds:
-        # The whole table is no larger than one cell.
-        whole = F.row_number().over(Window.partitionBy(*keys).orderBy(order_by))
-        return df.withColumn(name, whole.cast("bigint"))
-    # A struct key compares NULL fields as equal, and serves window and join with one shuffle.
-    placed = _with_cell(df.withColumn("_key", F.struct(*keys)), order_by, bounds, "_cell")
-    inside = placed.withColumn("_in", F.row_number().over(Window.partitionBy("_key", "_cell").orderBy(order_by)))
-    earlier = Window.partitionBy("_key").orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
+    spark = df.sparkSession
+    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # A struct key compares NULL fields as equal.
+    dealt = df.withColumn("_key", F.struct(*keys)).repartitionByRange(n, "_key", order_by).withColumn("_range", F.spark_partition_id())
+    inside = checkpointed(dealt.withColumn("_in", F.row_number().over(Window.partitionBy("_key", "_range").orderBy(order_by))))
+    earlier = Window.partitionBy("_key").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
-        placed.groupBy("_key", "_cell")
-        .agg(row_count().alias("_n"))
+        inside.groupBy("_key", "_range")
+        .agg(F.max("_in").cast("bigint").alias("_n"))
         .withColumn("_before", F.sum("_n").over(earlier))
         .filter(F.col("_before") > 0)
-        .select("_key", "_cell", "_before")
+        .select("_key", "_range", "_before")
     )
-    return inside.join(offsets, ["_key", "_cell"], "left").select(
+    return inside.join(offsets, ["_key", "_range"], "left").select(
         *df.columns, (F.col("_in") + F.coalesce("_before", F.lit(0))).cast("bigint").alias(name)
     )
 

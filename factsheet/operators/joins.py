@@ -8,7 +8,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from factsheet.functions.measures import row_count
+from factsheet.functions.measures import int_quotient, row_count
 from factsheet.functions.text import normalized_key
 
 
@@ -89,7 +89,7 @@ class Measure:
         if self.how == "mean":
             return F.try_divide(total, n).alias(self.name)
         if self.how == "int_mean":
-            return F.call_function("div", total, F.nullif(n, F.lit(0))).alias(self.name)
+            return int_quotient(total, n).alias(self.name)
         raise ValueError(f"unknown measure {self.how}")
 
 

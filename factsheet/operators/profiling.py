@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from factsheet.functions.measures import row_count
+from factsheet.functions.text import read_as
 
 
 def distinct_pairs(df: DataFrame, *columns: str) -> DataFrame:
@@ -15,7 +16,7 @@ def distinct_pairs(df: DataFrame, *columns: str) -> DataFrame:
 
 def value_range(df: DataFrame, column: str, as_type: str) -> DataFrame:
     """Least and greatest value after the cast, so that numbers held as text compare as numbers."""
-    value = F.col(column).try_cast(as_type)
+    value = read_as(column, as_type)
     return df.agg(F.min(value).alias(f"min_{column}"), F.max(value).alias(f"max_{column}"))
 
 
@@ -31,7 +32,7 @@ def value_domain(df: DataFrame, column: str, expected: Sequence[str]) -> DataFra
 
 def uncastable_rows(df: DataFrame, column: str, as_type: str) -> DataFrame:
     """Rows whose value is there but does not read as ``as_type``."""
-    return df.filter(F.col(column).try_cast(as_type).isNull() & F.col(column).isNotNull())
+    return df.filter(read_as(column, as_type).isNull() & F.col(column).isNotNull())
 
 
 def blank_count(df: DataFrame, column: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -33,33 +33,41 @@ def drop_columns(df: DataFrame, *columns: str) -> DataFrame:
     return df.drop(*columns)
 
 
-def _failed_columns(types: Mapping[str, str]) -> Column:
-    """Names of the columns whose text is there but does not read as its type."""
+#: How a text column is read: the name of a type, or a function from the text to its value, NULL where it does not read.
+Reader = str | Callable[[Column], Column]
+
+
+def _read(column: str, reader: Reader) -> Column:
+    present = text.blank_to_null(column)
+    return reader(present) if callable(reader) else text.read_as(present, reader)
+
+
+def _failed_columns(readers: Mapping[str, Reader]) -> Column:
+    """Names of the columns whose text is there but does not read."""
 
     def failed(c: str) -> Column:
-        present = text.blank_to_null(c)
-        return F.when(present.isNotNull() & present.try_cast(types[c]).isNull(), F.lit(c))
+        return F.when(text.blank_to_null(c).isNotNull() & _read(c, readers[c]).isNull(), F.lit(c))
 
-    return F.filter(F.array(*[failed(c) for c in types]), lambda name: name.isNotNull())
+    return F.filter(F.array(*[failed(c) for c in readers]), lambda name: name.isNotNull())
 
 
-def repair_types(df: DataFrame, types: Mapping[str, str], failed: str = "failed_columns") -> DataFrame:
-    """Cast text columns, naming in ``failed`` those whose value did not read.
+def repair_types(df: DataFrame, readers: Mapping[str, Reader], failed: str = "failed_columns") -> DataFrame:
+    """Read text columns as types or by parsers, naming in ``failed`` those whose value did not read.
 
     A blank is unknown rather than wrong: it becomes NULL and does not fail. One pass, no
     shuffle. Keep the clean rows with ``accepted``, look at the others with ``quarantined``.
     """
-    cast = {c: text.blank_to_null(c).try_cast(t) for c, t in types.items()}
-    return df.withColumns({failed: _failed_columns(types), **cast})
+    read = {c: _read(c, r) for c, r in readers.items()}
+    return df.withColumns({failed: _failed_columns(readers), **read})
 
 
 def accepted(repaired: DataFrame, failed: str = "failed_columns") -> DataFrame:
     return repaired.filter(F.size(failed) == 0).drop(failed)
 
 
-def quarantined(df: DataFrame, types: Mapping[str, str], failed: str = "failed_columns") -> DataFrame:
+def quarantined(df: DataFrame, readers: Mapping[str, Reader], failed: str = "failed_columns") -> DataFrame:
     """Rows as they came that ``repair_types`` would fail, with the columns at fault."""
-    return df.withColumn(failed, _failed_columns(types)).filter(F.size(failed) > 0)
+    return df.withColumn(failed, _failed_columns(readers)).filter(F.size(failed) > 0)
 
 
 def fill_from_sibling(df: DataFrame, group: str, value: str, order_by: str) -> DataFrame:

@@ -32,9 +32,9 @@ RULE_WEIGHTS = {
     "young_account": 20,
     "address_mismatch": 20,
 }
-# Upper bounds and labels of the score bands.
+# Labels of the score bands; a score of 0 has its own, the next two have upper bounds.
+NO_SIGNALS = "0 (no signals)"
 SCORE_BANDS = (
-    (1, "0 (no signals)"),
     (30, "1-29 (low)"),
     (60, "30-59 (medium)"),
 )
@@ -155,7 +155,7 @@ def composite_score(df: DataFrame, rules: Sequence[tuple[Column, int]] | None =
 def score_band_validation(scored: DataFrame) -> DataFrame:
     """Rate per score band, lowest band first: a working score makes it rise."""
     score = F.col("composite_risk_score")
-    band = bucketize(score, below=SCORE_BANDS, otherwise=TOP_BAND).alias("score_band")
+    band = F.when(score == 0, NO_SIGNALS).otherwise(bucketize(score, below=SCORE_BANDS, otherwise=TOP_BAND)).alias("score_band")
     return (
         scored.groupBy(band)
         .agg(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from factsheet.functions.measures import MONEY, int_avg, map_categories
-from factsheet.functions.text import clean_number, normalized_key
+from factsheet.functions.text import clean_number, normalized_key, read_as
 from factsheet.operators.joins import Measure, fanout_aggregate
 from factsheet.operators.ordering import sort_rows
 
@@ -22,7 +22,7 @@ PLACE = ("city", "country", "subregion")
 
 def total_by(df: DataFrame, value: str, as_type: str, *keys: str, name: str = "total") -> DataFrame:
     """Sum per key of numbers held as text; text that is no number adds nothing."""
-    return df.groupBy(*keys).agg(F.sum(F.col(value).try_cast(as_type)).alias(name))
+    return df.groupBy(*keys).agg(F.sum(read_as(value, as_type)).alias(name))
 
 
 def listeners(streams: DataFrame, cities: DataFrame) -> DataFrame:
@@ -42,13 +42,13 @@ def city_summary(cities: DataFrame, streams: DataFrame) -> DataFrame:
     c = cities.select(
         *PLACE,
         normalized_key("country").alias("_country"),
-        F.col("city_population_mil").try_cast(MONEY).alias("_population"),
+        read_as("city_population_mil", MONEY).alias("_population"),
         clean_number("gdp_per_capita_usd").alias("_gdp"),
     )
     s = streams.select(
         normalized_key("country").alias("_country"),
-        F.col("monthly_streams").try_cast("bigint").alias("_streams"),
-        F.col("revenue_usd").try_cast(MONEY).alias("_revenue"),
+        read_as("monthly_streams", "bigint").alias("_streams"),
+        read_as("revenue_usd", MONEY).alias("_revenue"),
         clean_number("skip_rate", strip="%").alias("_skip"),
     )
     return fanout_aggregate(

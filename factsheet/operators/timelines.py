@@ -91,13 +91,13 @@ def with_entity_total(
 
 
 def _hours_of_customers(df: DataFrame, min_history: int) -> DataFrame:
-    """Busiest hours first, the earlier hour on ties, and the number of rows, per customer.
+    """Busiest hours first, the earlier hour on ties, and the number of rows, per known customer.
 
     Rows are counted per customer and hour before anything is gathered, so an array
     holds at most 24 entries.
     """
     hour = F.hour("timestamp")
-    per_hour = df.groupBy("customer_id", hour.alias("_hour")).agg(row_count().alias("_n"))
+    per_hour = df.filter(F.col("customer_id").isNotNull()).groupBy("customer_id", hour.alias("_hour")).agg(row_count().alias("_n"))
     entry = F.when(F.col("_hour").isNotNull(), F.struct((-F.col("_n")).alias("n"), F.col("_hour").alias("h")))
     return (
         per_hour.groupBy("customer_id")

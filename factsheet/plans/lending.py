@@ -319,7 +319,7 @@ def blank_count(spark: SparkSession, folder: str) -> DataFrame:
     return profiling.blank_count(_with_blanks(spark, folder), "priority")
 
 
-@query("blank_to_null", f"SELECT o_orderkey, NULLIF(trim({BLANKS_SQL}), '') AS priority FROM orders")
+@query("blank_to_null", f"SELECT o_orderkey, CASE WHEN trim({BLANKS_SQL}) <> '' THEN {BLANKS_SQL} END AS priority FROM orders")
 def blank_to_null(spark: SparkSession, folder: str) -> DataFrame:
     return repair.blanks_to_null(_with_blanks(spark, folder), "priority")
 

@@ -56,12 +56,12 @@ def split_address(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(
     "split_from_right",
-    """WITH hosts AS (SELECT page_id, string_split(regexp_extract(url, '^https?://([^/?#]+)', 1), '.') AS p FROM pages)
+    """WITH hosts AS (SELECT page_id, string_split(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)', 1), '.') AS p FROM pages)
 SELECT page_id, CASE WHEN len(p) <= 4 AND len(p) >= 3 THEN p[-3] END AS site, CASE WHEN len(p) <= 4 THEN p[-2] END AS domain,
        CASE WHEN len(p) <= 4 THEN p[-1] END AS top FROM hosts""",
 )
 def split_from_right(spark: SparkSession, folder: str) -> DataFrame:
-    hosts = read_table(spark, folder, "pages").select("page_id", F.expr("parse_url(url, 'HOST')").alias("host"))
+    hosts = read_table(spark, folder, "pages").select("page_id", F.try_parse_url("url", F.lit("HOST")).alias("host"))
     return repair.split_from_right(hosts, "host", ("site", "domain", "top")).drop("host")
 
 
@@ -83,18 +83,25 @@ def recode_column(spark: SparkSession, folder: str) -> DataFrame:
     return repair.recode(sales, "sold_as_vacant", {"Y": "Yes", "N": "No"})
 
 
-KEYS = ["o_custkey", "o_orderdate"]
-NUMBERED_SQL = "SELECT *, ROW_NUMBER() OVER (PARTITION BY o_custkey, o_orderdate ORDER BY o_orderkey) AS row_num FROM orders"
+# Some addresses are NULL, which groups like a value.
+KEYS = ["parcel_id", "property_address", "sold_as_vacant", "tax_district", "sale_year"]
+NUMBERED_SQL = f"""{PROPERTIES_SQL},
+sales AS (SELECT unique_id, parcel_id, property_address, sold_as_vacant, tax_district, CAST(EXTRACT(YEAR FROM sale_date) AS INTEGER) AS sale_year FROM properties),
+numbered AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY {", ".join(KEYS)} ORDER BY unique_id) AS row_num FROM sales)"""
 
 
-@query("dedupe_flag", f"SELECT * FROM ({NUMBERED_SQL}) WHERE row_num > 1")
+def _sales(spark: SparkSession, folder: str) -> DataFrame:
+    return properties(spark, folder).withColumn("sale_year", F.year("sale_date")).select("unique_id", *KEYS)
+
+
+@query("dedupe_flag", f"WITH {NUMBERED_SQL} SELECT * FROM numbered WHERE row_num > 1")
 def dedupe_flag(spark: SparkSession, folder: str) -> DataFrame:
-    return duplicates.later_copies(read_table(spark, folder, "orders"), KEYS, "o_orderkey")
+    return duplicates.later_copies(_sales(spark, folder), KEYS, "unique_id")
 
 
-@query("dedupe_keep", f"SELECT * EXCLUDE (row_num) FROM ({NUMBERED_SQL}) WHERE row_num = 1")
+@query("dedupe_keep", f"WITH {NUMBERED_SQL} SELECT * EXCLUDE (row_num) FROM numbered WHERE row_num = 1")
 def dedupe_keep(spark: SparkSession, folder: str) -> DataFrame:
-    return duplicates.first_copies(read_table(spark, folder, "orders"), KEYS, "o_orderkey")
+    return duplicates.first_copies(_sales(spark, folder), KEYS, "unique_id")
 
 
 @query("to_date_column", "SELECT o_orderkey, o_orderdate, CAST(o_orderdate AS DATE) AS sale_date_converted FROM orders")
@@ -133,16 +140,25 @@ DIRTY_BRAND_SQL = "CASE WHEN p_size % 10 = 0 THEN p_brand WHEN p_size % 10 = 1 T
 
 @query(
     "repair_types",
-    f"""WITH raw AS (SELECT p_partkey, {DIRTY_BRAND_SQL} AS brand, CAST(p_size AS VARCHAR) AS size FROM part)
+    f"""WITH raw AS (SELECT p_partkey, p_size, p_retailprice, {DIRTY_BRAND_SQL} AS brand, CAST(p_size AS VARCHAR) AS size FROM part)
 SELECT p_partkey, TRY_CAST(NULLIF(trim(brand), '') AS INTEGER) AS brand, CAST(size AS INTEGER) AS size,
-  CASE WHEN trim(brand) <> '' AND TRY_CAST(brand AS INTEGER) IS NULL THEN 'brand' ELSE '' END AS failed_columns
+  CASE WHEN p_size % 7 <> 0 THEN CAST(CAST(p_retailprice AS DECIMAL(18,2)) AS DOUBLE) END AS price,
+  CASE WHEN p_size % 9 <> 0 THEN CAST(DATE '2024-01-01' + p_size AS DATE) END AS listed,
+  array_to_string(list_filter([CASE WHEN trim(brand) <> '' AND TRY_CAST(brand AS INTEGER) IS NULL THEN 'brand' END,
+    CASE WHEN p_size % 7 = 0 THEN 'price' END, CASE WHEN p_size % 9 = 0 THEN 'listed' END], lambda x: x IS NOT NULL), ',') AS failed_columns
 FROM raw""",
 )
 def repair_types(spark: SparkSession, folder: str) -> DataFrame:
     digits = F.replace("p_brand", F.lit("Brand#"), F.lit(""))
-    brand = F.when(F.col("p_size") % 10 == 0, F.col("p_brand")).when(F.col("p_size") % 10 == 1, " ").otherwise(digits)
-    raw = read_table(spark, folder, "part").select("p_partkey", brand.alias("brand"), F.col("p_size").cast("string").alias("size"))
-    repaired = repair.repair_types(raw, {"brand": "int", "size": "int"})
+    size, day = F.col("p_size"), F.date_add(F.lit("2024-01-01").cast("date"), F.col("p_size"))
+    raw = read_table(spark, folder, "part").select(
+        "p_partkey",
+        F.when(size % 10 == 0, F.col("p_brand")).when(size % 10 == 1, " ").otherwise(digits).alias("brand"),
+        size.cast("string").alias("size"),
+        F.when(size % 7 == 0, "n/a").otherwise(F.format_number("p_retailprice", 2)).alias("price"),
+        F.when(size % 9 == 0, F.date_format(day, "yyyy-MM-dd")).otherwise(F.date_format(day, "dd/MM/yyyy")).alias("listed"),
+    )
+    repaired = repair.repair_types(raw, {"brand": "int", "size": "int", "price": text.clean_number, "listed": parse_day_first})
     return repaired.withColumn("failed_columns", F.array_join("failed_columns", ","))
 
 
@@ -169,11 +185,11 @@ def try_cast_all(spark: SparkSession, folder: str) -> DataFrame:
     price = F.col("o_totalprice").cast(MONEY).cast("string")
     return read_table(spark, folder, "orders").select(
         "o_orderkey",
-        key.cast("string").try_cast("bigint").alias("as_bigint"),
+        text.read_as(key.cast("string"), "bigint").alias("as_bigint"),
         price.try_cast("double").alias("as_float"),
-        price.try_cast(MONEY).alias("as_decimal"),
+        text.read_as(price, MONEY).alias("as_decimal"),
         F.date_format("o_orderdate", "yyyy-MM-dd").try_cast("date").alias("as_date"),
-        F.when(key % 3 == 0, key.cast("string")).otherwise(status).try_cast("bigint").alias("mixed"),
+        text.read_as(F.when(key % 3 == 0, key.cast("string")).otherwise(status), "bigint").alias("mixed"),
     )
 
 

@@ -91,23 +91,23 @@ def size_band(spark: SparkSession, folder: str) -> DataFrame:
     return read_table(spark, folder, "part").select("p_partkey", band.alias("size_band"))
 
 
-@query("sort_asc", "SELECT * FROM part")
+@query("sort_asc", "SELECT * FROM part ORDER BY p_size, p_partkey")
 def sort_asc(spark: SparkSession, folder: str) -> DataFrame:
     return ordering.sort_rows(read_table(spark, folder, "part"), "p_size", unique="p_partkey")
 
 
-@query("sort_desc", "SELECT * FROM part")
+@query("sort_desc", "SELECT * FROM part ORDER BY p_size DESC, p_partkey")
 def sort_desc(spark: SparkSession, folder: str) -> DataFrame:
     return ordering.sort_rows(read_table(spark, folder, "part"), F.desc("p_size"), unique="p_partkey")
 
 
-@query("sort_multi", "SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders")
+@query("sort_multi", "SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders ORDER BY o_orderstatus DESC, o_totalprice, o_orderkey")
 def sort_multi(spark: SparkSession, folder: str) -> DataFrame:
     orders = read_table(spark, folder, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
     return ordering.sort_rows(orders, F.desc("o_orderstatus"), F.asc("o_totalprice"), unique="o_orderkey")
 
 
-@query("sort_alias", "SELECT p_partkey, p_retailprice / NULLIF(p_size, 0) AS price_per_size FROM part")
+@query("sort_alias", "SELECT p_partkey, p_retailprice / NULLIF(p_size, 0) AS price_per_size FROM part ORDER BY price_per_size NULLS FIRST, p_partkey")
 def sort_alias(spark: SparkSession, folder: str) -> DataFrame:
     priced = read_table(spark, folder, "part").select("p_partkey", safe_ratio("p_retailprice", "p_size").alias("price_per_size"))
     return ordering.sort_rows(priced, "price_per_size", unique="p_partkey")

@@ -141,7 +141,7 @@ def view(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(
     "sort_ordinal",
-    f"WITH {READINGS_SQL} SELECT entity, day, CAST(value AS DOUBLE) AS doses FROM doses",
+    f"WITH {READINGS_SQL} SELECT entity, day, CAST(value AS DOUBLE) AS doses FROM doses ORDER BY doses DESC, entity, day",
 )
 def sort_ordinal(spark: SparkSession, folder: str) -> DataFrame:
     """The third column, largest first, by name rather than by position."""

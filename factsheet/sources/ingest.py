@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Sequence
+from itertools import count
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StringType, StructField, StructType
@@ -40,9 +41,9 @@ def snake_case(name: str) -> str:
 
 def with_clean_names(df: DataFrame) -> DataFrame:
     """Lower-case names without blanks, brackets or signs; a repeated name gets a number."""
-    seen: dict[str, int] = {}
-    names = []
-    for name in map(snake_case, df.columns):
-        seen[name] = seen.get(name, 0) + 1
-        names.append(name if seen[name] == 1 else f"{name}_{seen[name]}")
+    plain = [snake_case(c) for c in df.columns]
+    names: list[str] = []
+    for name in plain:
+        choices = (name if n == 1 else f"{name}_{n}" for n in count(1))
+        names.append(next(c for c in choices if c not in names and (c == name or c not in plain)))
     return df.toDF(*names)

@@ -1,8 +1,8 @@
 """Typed tables, stored results, views and exports.
 
 Stored results go under the folder named by ``spark.checkpoint.dir``, which every
-executor can read, so they outlive any executor. They are not deleted here: the
-caller owns them, as with any written table.
+executor can read, so they outlive any executor. Spark deletes checkpoints that nothing
+refers to; a result written to a path belongs to the caller, as with any written table.
 """
 
 from __future__ import annotations
@@ -19,7 +19,8 @@ def shared_folder(spark: SparkSession) -> str:
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if folder:
         return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     folder = tempfile.mkdtemp(prefix="factsheet-")
     spark.sparkContext.setCheckpointDir(folder)
@@ -30,21 +31,37 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, name: str, *, view: str | None = None, path: str | None = None) -> DataFrame:
-    """Write a result once and read it back, so that later steps neither repeat nor lose it."""
-    spark = df.sparkSession
-    path = path or fresh_path(spark, name)
-    df.write.mode("overwrite").parquet(path)
-    stored = spark.read.schema(df.schema).parquet(path)
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` computed once and kept in the shared folder.
+
+    Spark deletes the files when nothing refers to the result any more, if
+    ``spark.cleaner.referenceTracking.cleanCheckpoints`` is set.
+    """
+    folder = shared_folder(df.sparkSession)
+    if df.sparkSession.sparkContext.getCheckpointDir() is None:
+        df.sparkSession.sparkContext.setCheckpointDir(folder)
+    return df.checkpoint(eager=True)
+
+
+def materialize(df: DataFrame, *, view: str | None = None, path: str | None = None) -> DataFrame:
+    """Compute a result once, so that later steps neither repeat nor lose it.
+
+    With a ``path`` it is written there as Parquet, for the caller to keep or delete; else it is checkpointed.
+    """
+    if path:
+        df.write.mode("overwrite").parquet(path)
+        stored = df.sparkSession.read.schema(df.schema).parquet(path)
+    else:
+        stored = checkpointed(df)
     if view:
         stored.createOrReplaceTempView(view)
     return stored
 
 
-def typed_table(df: DataFrame, schema: StructType, view: str | None = None) -> DataFrame:
-    """Insert by position into declared types: first column to first field, and so on.
+def typed_table(df: DataFrame, schema: StructType, view: str | None = None, path: str | None = None) -> DataFrame:
+    """Insert by position into a stored table of declared types: first column to first field, and so on.
 
-    Casts are strict: a value that does not fit stops the job.
+    Casts are strict: a value that does not fit stops the insert, and later reads cast nothing.
     """
     if len(df.columns) != len(schema.fields):
         raise ValueError(f"{len(df.columns)} columns for {len(schema.fields)} fields")
@@ -52,9 +69,7 @@ def typed_table(df: DataFrame, schema: StructType, view: str | None = None) -> D
     typed = df.toDF(*names).select(
         *[F.col(n).cast(f.dataType).alias(f.name) for n, f in zip(names, schema.fields)]
     )
-    if view:
-        typed.createOrReplaceTempView(view)
-    return typed
+    return materialize(typed, view=view, path=path)
 
 
 def saved_view(df: DataFrame, name: str) -> DataFrame:
@@ -63,8 +78,10 @@ def saved_view(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.table(name)
 
 
-def export(df: DataFrame, path: str, fmt: str = "parquet", *, one_file: bool = False) -> str:
-    """Write for use elsewhere, one file per task; ``one_file`` only for small aggregates."""
+def export(df: DataFrame, path: str, fmt: str = "parquet", *, one_file: bool = False, most_rows: int = 100_000) -> str:
+    """Write for use elsewhere, one file per task, or one file if there are no more than ``most_rows`` rows."""
+    if one_file and df.limit(most_rows + 1).count() > most_rows:
+        raise ValueError(f"over {most_rows} rows for one file")
     out = df.coalesce(1) if one_file else df
     writer = out.write.mode("overwrite")
     if fmt == "csv":

@@ -3,9 +3,14 @@
 from collections import Counter
 from decimal import Decimal
 
+import datetime
+from decimal import Decimal
+
 import pytest
 from pyspark.sql import Window, functions as F
 
+from factsheet.functions.dates import parse_day_first
+from factsheet.functions.text import clean_number
 from factsheet.operators import duplicates, profiling, repair
 
 SALES = "unique_id bigint, parcel_id string, property_address string"
@@ -120,11 +125,11 @@ def copies(spark, n=3000):
     return spark.range(n).select(key.alias("a"), F.lit("x").alias("b"), (F.lit(n) - F.col("id")).alias("order_id"))
 
 
-@pytest.mark.parametrize("rows_per_cell", [10**6, 100, 7])
-def test_numbers_equal_row_number(spark, rows_per_cell):
+@pytest.mark.parametrize("partitions", [None, 1, 40])
+def test_numbers_equal_row_number(spark, partitions):
     df = copies(spark)
     plain = df.withColumn("row_num", F.row_number().over(Window.partitionBy("a", "b").orderBy("order_id")).cast("bigint"))
-    split = duplicates.number_in_group(df, ["a", "b"], "order_id", rows_per_cell=rows_per_cell)
+    split = duplicates.number_in_group(df, ["a", "b"], "order_id", partitions=partitions)
     assert split.columns == plain.columns
     assert sorted(map(str, split.collect())) == sorted(map(str, plain.collect()))
 
@@ -137,18 +142,16 @@ def test_numbers_by_date_and_double(spark):
     )
     for order in ("day", "x"):
         plain = df.withColumn("row_num", F.row_number().over(Window.partitionBy("k").orderBy(order)).cast("bigint"))
-        split = duplicates.number_in_group(df, ["k"], order, rows_per_cell=20)
+        split = duplicates.number_in_group(df, ["k"], order, partitions=12)
         assert sorted(map(str, split.collect())) == sorted(map(str, plain.collect()))
-    with pytest.raises(ValueError):
-        duplicates.number_in_group(df.withColumn("s", F.lit("a")), ["k"], "s")
 
 
-def test_no_cell_of_a_hot_group_is_large(spark):
+def test_no_task_gets_a_hot_group(spark):
     df = spark.range(8000).select(F.lit(1).alias("k"), F.col("id").alias("order_id"))
-    bounds = duplicates._cell_bounds(df, "order_id", 500)
-    cells = duplicates._with_cell(df, "order_id", bounds, "cell").groupBy("cell").count()
-    assert cells.agg(F.max("count")).first()[0] <= 1000
-    assert cells.count() >= 12
+    dealt = df.withColumn("_key", F.struct("k")).repartitionByRange(16, "_key", "order_id").groupBy(F.spark_partition_id()).count()
+    assert dealt.agg(F.max("count")).first()[0] <= 1500 and dealt.count() >= 12
+    numbered = duplicates.number_in_group(df, ["k"], "order_id", partitions=16)
+    assert numbered.agg(F.max("row_num"), F.count_distinct("row_num")).first() == (8000, 8000)
 
 
 def test_flagged_and_kept_make_up_the_table(spark):
@@ -158,3 +161,15 @@ def test_flagged_and_kept_make_up_the_table(spark):
     later = duplicates.later_copies(df, keys, "order_id").drop("row_num")
     assert kept.count() == df.select(*keys).distinct().count()
     assert sorted(map(str, kept.unionByName(later).collect())) == sorted(map(str, df.collect()))
+
+
+def test_parsers_beside_types(spark):
+    df = spark.createDataFrame([("1", "1,234.50", "31/12/2024"), ("x", "n/a", "2024-01-01"), (" ", None, "")], "n string, price string, day string")
+    readers = {"n": "int", "price": clean_number, "day": parse_day_first}
+    rows = repair.repair_types(df, readers).collect()
+    assert [tuple(r) for r in rows] == [
+        (1, Decimal("1234.50"), datetime.date(2024, 12, 31), []),
+        (None, None, None, ["n", "price", "day"]),
+        (None, None, None, []),
+    ]
+    assert repair.quarantined(df, readers).count() == 1

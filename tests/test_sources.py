@@ -30,16 +30,17 @@ def test_typed_table_goes_by_position_and_is_strict(spark):
     assert typed.schema.simpleString() == schema.simpleString()
     assert tuple(spark.table("typed_test").first()) == ("a", 1, 2.5)
     with pytest.raises(Exception, match="CAST_INVALID_INPUT"):
-        publish.typed_table(rows.withColumn("entity", F.lit("one")), schema).collect()
+        publish.typed_table(rows.withColumn("entity", F.lit("one")), schema)
     with pytest.raises(ValueError):
         publish.typed_table(rows.drop("n"), schema)
 
 
-def test_stored_result_is_read_not_computed(spark):
-    stored = publish.materialize(spark.range(10).withColumn("d", F.lit(datetime.date(2024, 1, 1))), "test", view="stored_test")
-    plan = stored._jdf.queryExecution().executedPlan().toString()
-    assert "FileScan parquet" in plan and "Range" not in plan
-    assert publish.shared_folder(spark) in stored.inputFiles()[0]
+def test_stored_result_is_read_not_computed(spark, tmp_path):
+    df = spark.range(10).withColumn("d", F.lit(datetime.date(2024, 1, 1)))
+    plan = publish.materialize(df, view="stored_test")._jdf.queryExecution().executedPlan().toString()
+    assert "Scan ExistingRDD" in plan and "Range" not in plan
+    written = publish.materialize(df, path=str(tmp_path / "t"))
+    assert "FileScan parquet" in written._jdf.queryExecution().executedPlan().toString()
     assert spark.table("stored_test").count() == 10
 
 
@@ -81,3 +82,13 @@ def test_export_round_trip(spark, tmp_path, fmt):
 def test_view_computes_nothing(spark):
     publish.saved_view(spark.range(3).withColumn("x", F.col("id") * 2), "view_test")
     assert spark.sql("SELECT max(x) FROM view_test").first()[0] == 4
+
+
+def test_one_file_only_for_few_rows(spark, tmp_path):
+    with pytest.raises(ValueError):
+        publish.export(spark.range(11), str(tmp_path / "few"), one_file=True, most_rows=10)
+
+
+def test_repeated_names_stay_apart(spark):
+    df = spark.createDataFrame([(1, 2, 3)], ["a", "a ", "a 2"])
+    assert ingest.with_clean_names(df).columns == ["a", "a_3", "a_2"]
