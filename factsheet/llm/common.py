@@ -17,7 +17,7 @@ from pyspark.sql.types import StructType
 
 #: A word is a run of anything but the six ASCII white-space characters; ``bytes.split()`` cuts at the same ones.
 WORD = r"[^\x20\x09-\x0D]+"
-_BATCH_BYTES = 4 << 20
+_BATCH_BYTES = 1 << 20
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -107,5 +107,7 @@ def map_text(df: DataFrame, added: str, compute: Callable[[list[str | None]], li
                 made = compute(batch.column(column).to_pylist())
                 arrays = [pa.array(x, type=to_arrow_type(f.dataType)) for x, f in zip(made, new)]
                 yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in order], *arrays], names=[*order, *new.names])
+                del batch, made, arrays
+                pa.default_memory_pool().release_unused()  # idle workers stay, and would hold it
 
     return source.mapInArrow(run, StructType([*[f for f in source.schema if f.name in kept], *new]))
