@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
@@ -135,10 +135,24 @@ def absent_everywhere(base: DataFrame, key: str, sources: Sequence[DataFrame]) -
     return base.join(seen, key, "left_anti")
 
 
-def source_totals(key: str, sources: Mapping[str, DataFrame]) -> DataFrame:
+@dataclass(frozen=True)
+class Tagged:
+    """Rows of several sources in one DataFrame: the key, ``source`` (a name, or NULL for rows of none) and ``amount``.
+
+    For sources that are parts of one table, which is then read once.
+    """
+
+    rows: DataFrame
+    names: tuple[str, ...]
+
+    def __iter__(self) -> Iterator[str]:
+        return iter(self.names)
+
+
+def source_totals(key: str, sources: Mapping[str, DataFrame] | Tagged) -> DataFrame:
     """Total per key of each source, side by side, NULL where the key is not in the source.
 
-    ``sources`` maps a name to a DataFrame of the key and an ``amount``. All are stacked
+    ``sources`` maps a name to a DataFrame of the key and an ``amount``, or has them ``Tagged``. All are stacked
     and grouped once: one shuffle of partial sums instead of one per source and a join
     for each. ``has_<name>`` tells a source without rows from one whose total is NULL.
     """
@@ -151,14 +165,21 @@ def source_totals(key: str, sources: Mapping[str, DataFrame]) -> DataFrame:
             *[F.lit(n == name).alias(f"has_{n}") for n in sources],
         )
 
-    rows = reduce(DataFrame.unionByName, [stacked(n, df) for n, df in sources.items()])
+    if isinstance(sources, Tagged):
+        rows = sources.rows.filter(F.col("source").isNotNull()).select(
+            key,
+            *[F.when(F.col("source") == n, F.col("amount")).alias(f"total_{n}") for n in sources],
+            *[(F.col("source") == n).alias(f"has_{n}") for n in sources],
+        )
+    else:
+        rows = reduce(DataFrame.unionByName, [stacked(n, df) for n, df in sources.items()])
     return rows.groupBy(key).agg(
         *[F.sum(f"total_{n}").alias(f"total_{n}") for n in sources],
         *[F.max(f"has_{n}").alias(f"has_{n}") for n in sources],
     )
 
 
-def combine_sources(base: DataFrame, key: str, sources: Mapping[str, DataFrame]) -> DataFrame:
+def combine_sources(base: DataFrame, key: str, sources: Mapping[str, DataFrame] | Tagged) -> DataFrame:
     """``base`` with the total of each source, its presence, and ``sources_present``."""
     joined = base.join(source_totals(key, sources), key, "left")
     present = {f"has_{n}": F.coalesce(f"has_{n}", F.lit(False)) for n in sources}

@@ -17,7 +17,7 @@ from factsheet.functions.measures import (
     safe_ratio,
     weighted_sum,
 )
-from factsheet.operators.joins import combine_sources, lookup
+from factsheet.operators.joins import Tagged, combine_sources, lookup
 
 # The weight of each source in the score, as shares of 1.
 WEIGHTS = {
@@ -72,7 +72,7 @@ def loan_to_income(applicants: DataFrame, loan: str, income: str) -> DataFrame:
     )
 
 
-def alt_combined(applicants: DataFrame, key: str, sources: Mapping[str, DataFrame]) -> DataFrame:
+def alt_combined(applicants: DataFrame, key: str, sources: Mapping[str, DataFrame] | Tagged) -> DataFrame:
     """Applicants with the total of each source, a missing source counting 0.
 
     The test of presence adds nothing to the total, which is NULL without it. It makes
@@ -85,7 +85,7 @@ def alt_combined(applicants: DataFrame, key: str, sources: Mapping[str, DataFram
     )
 
 
-def spend_overview(applicants: DataFrame, key: str, sources: Mapping[str, DataFrame]) -> DataFrame:
+def spend_overview(applicants: DataFrame, key: str, sources: Mapping[str, DataFrame] | Tagged) -> DataFrame:
     """Totals with 0 for a missing source and their sum, sorted by the totals as they were before that."""
     combined = combine_sources(applicants, key, sources)
     filled = {f"total_{n}": F.coalesce(F.col(f"total_{n}"), F.lit(Decimal(0))) for n in sources}

@@ -61,7 +61,8 @@ def alt_combined(spark: SparkSession, folder: str) -> DataFrame:
 SELECT applicant_id FROM combined WHERE NOT has_airtime AND NOT has_mobile_money AND NOT has_utility AND NOT has_market""",
 )
 def zero_activity(spark: SparkSession, folder: str) -> DataFrame:
-    return joins.absent_everywhere(applicants(spark, folder), KEY, list(sources(spark, folder).values())).select(KEY)
+    active = sources(spark, folder).rows.filter(F.col("source").isNotNull())
+    return joins.absent_everywhere(applicants(spark, folder), KEY, [active]).select(KEY)
 
 
 @query("sources_present", f"WITH {SOURCES_SQL} SELECT applicant_id, sources_present FROM combined")

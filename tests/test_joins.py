@@ -132,3 +132,14 @@ def test_sources_are_counted_by_presence(spark):
         3: (None, Decimal("-5.00"), 1),
         4: (None, None, 0),
     }
+
+
+def test_tagged_sources_give_what_separate_ones_give(spark):
+    base = spark.createDataFrame([(i,) for i in range(5)], "k int")
+    money = "k int, source string, amount decimal(18,2)"
+    data = [(0, "a", Decimal("1.00")), (0, "b", Decimal("2.00")), (1, "a", None), (2, None, Decimal("7.00")), (9, "b", Decimal("1.00"))]
+    tagged = spark.createDataFrame(data, money)
+    apart = {n: tagged.filter(F.col("source") == n).select("k", "amount") for n in ("a", "b")}
+    found = joins.combine_sources(base, "k", joins.Tagged(tagged, ("a", "b")))
+    assert rows(found) == rows(joins.combine_sources(base, "k", apart))
+    assert {r.k: r.sources_present for r in found.collect()} == {0: 2, 1: 1, 2: 0, 3: 0, 4: 0}

@@ -5,6 +5,7 @@ import subprocess
 import sys
 from pathlib import Path
 
+import pyarrow.parquet as pq
 import pytest
 
 FOLDER = "/root/testdata/sf0.001"
@@ -33,3 +34,8 @@ def reads(tmp_path_factory):
 @pytest.mark.parametrize("name", sorted(PAIRS))
 def test_sources_are_read_once(reads, name):
     assert 0 < reads[name] <= reads[PAIRS[name]]
+
+
+def test_the_four_sources_take_one_scan_of_orders(reads):
+    size = {t: pq.read_metadata(f"{FOLDER}/{t}.parquet").num_rows for t in ("orders", "events", "customer")}
+    assert reads["alt_score_ranked"] <= size["orders"] + size["events"] + 2 * size["customer"]
