@@ -62,3 +62,39 @@ def test_odd_tables(spark):
     got = licenses.scan(df).orderBy("doc_id").collect()
     assert got[0].licences == [] and sorted(len(r.licences) for r in got) == [0, 0, 1]
     assert licenses.scan(df.limit(0)).count() == 0
+
+
+GPL = "you can redistribute it and/or modify it under the terms of the GNU {} General Public License as published by the Free Software Foundation; either version {} of the License, or (at your option) any later version."
+
+
+@pytest.mark.parametrize(
+    "text, found",
+    [
+        ("(Released under the MIT License.) Next", ["MIT"]),
+        ('"Licensed under the MIT License." He', ["MIT"]),
+        ("Apache License\n  Version 2.0, January 2004\nhttp://www.apache.org/licenses/\n\nTERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION\n1. Definitions.", ["Apache-2.0"]),
+        ("2. Grant.\n" + licenses.SENTENCES["apache2-grant"] + "\nx", ["Apache-2.0"]),
+        ("GNU GENERAL PUBLIC LICENSE\n Version 2, June 1991\n\nCopyright (C) 1989", ["GPL-2.0"]),
+        ("GNU GENERAL PUBLIC LICENSE\n Version 3, 29 June 2007\n", ["GPL-3.0"]),
+        ("This library is free software; " + GPL.format("Lesser", "2.1"), ["LGPL-2.1"]),
+        ("Foo is free software: " + GPL.format("Affero", "3"), ["AGPL-3.0"]),
+        ("This program is free software; " + GPL.format("", "2"), ["GPL-2.0"]),
+        ("/* This Source Code Form is subject to the terms of the Mozilla Public\n * License, v. 2.0. If a copy", ["MPL-2.0"]),
+        ("Eclipse Public License - v 2.0\n\n", ["EPL-2.0"]),
+        ("CC0 1.0 Universal\n", ["CC0-1.0"]),
+        ("This is free and unencumbered software released into the public domain.\n\nAnyone", ["Unlicense"]),
+        (" ".join(licenses.SENTENCES[k] for k in ("zlib-warranty", "zlib-liable", "zlib-grant")), ["Zlib"]),
+        ("// SPDX-License-Identifier: MIT\nint x;", ["MIT"]),
+        ("/* SPDX-License-Identifier: (GPL-2.0-or-later WITH Linux-syscall-note OR BSD-3-Clause) */", ["GPL-2.0", "BSD-3-Clause"]),
+        ("# spdx-license-identifier: LicenseRef-Own AND CC-BY-SA-4.0.", ["CC-BY-SA-4.0"]),
+        ("SPDX-License-Identifier:\nMIT", []),
+        ("This project is licensed under the terms of the MIT license.", ["MIT"]),
+        ("Licensed under either of Apache License, Version 2.0 or MIT license at your option.", ["Apache-2.0", "MIT"]),
+        ("This work is licensed under a\nplan. Released under GPLv3 or later.", ["GPL-3.0"]),
+        ("This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.", ["CC-BY-NC-4.0"]),
+        ("Licensed under the Boost of morale.", []),
+        ("Distributed under the LGPL 3 terms.", []),
+    ],
+)
+def test_more_licences_lines_and_closed_sentences(text, found):
+    assert names(text) == found
