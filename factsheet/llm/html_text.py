@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import html
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -18,12 +18,22 @@ BLOCKS = frozenset(
 )
 #: Elements whose content is not markup: it ends at the next end tag of their name.
 RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript template".split())
-#: Elements that never hold the text of an article.
-FURNITURE = frozenset("nav footer aside form menu dialog search button select svg math canvas audio video object head".split())
+#: Elements that never hold the text of an article, and those that do only if they hold most of a page.
+FURNITURE = frozenset("nav footer menu dialog button select svg math canvas audio video object head".split())
+SUSPECT = frozenset("aside form search".split())
 #: Words in class, id or role of furniture.
 NAMES = frozenset(
     "ad ads adsense advert advertisement advertising alert banner breadcrumb breadcrumbs colophon comment comments complementary consent contentinfo cookie cookies copyright dialog disqus footer gdpr header login masthead menu modal nav navbar navigation newsletter notice notices notification overlay pagination popup promo promoted promotion recommended related replies reply respond search share sharing sidebar signup social sponsor sponsored subscribe subscription teaser toolbar widget".split()
 )
+#: Those of what readers add, which may be longer than the article.
+COMMENTS = frozenset("comment comments disqus replies reply respond".split())
+#: Words that may stand beside such a name in a class or id: ``site-footer`` is furniture, ``has-sidebar`` is not.
+BESIDE = frozenset(
+    "area article articles aside bar block blog body bottom box btn button buttons card cards center col column container dfp entry facebook feed first fixed floating form global google group icon icons inline inner item items js label last layer left leaderboard line link links list lower main middle mobile mod module native news outer page pane panel post posts primary right row section secondary single site slot small sticky stories story sub table tertiary thread title top twitter unit upper web wide wrap wrapper".split()
+)
+FIELDS = frozenset("input select textarea".split())
+#: Characters of text under which a suspect is furniture, and from which a span is text on its own.
+SHORT, ENOUGH = 250, 80
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements that an open paragraph, item, cell or row ends before: what the same kind closes.
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "td": ("td", "th"), "th": ("td", "th"), "tr": ("tr", "td", "th"), "option": ("option",)}
@@ -33,22 +43,124 @@ MARKUP = re.compile(
 ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?(?=[\s/]|$)", re.I)
 
 
-def is_furniture(name: str, attributes: str, inside: bool) -> bool:
-    """Whether an element holds no article text; ``inside`` an article, a header may hold its headline."""
-    if name in FURNITURE or (name == "header" and not inside):
-        return True
+def named(token: str) -> set[str]:
+    """The names of furniture in a class or id, if all its other words may stand beside one."""
+    parts = set(re.findall(r"[a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", token).lower()))
+    return parts & NAMES if parts <= NAMES | BESIDE else set()
+
+
+def suspicion(name: str, attributes: str, inside: bool) -> str:
+    """``never`` for an element without article text, ``comments`` or ``suspect`` if its text must tell, else empty.
+
+    ``inside`` an article, a header may hold its headline.
+    """
+    if name in FURNITURE:
+        return "never"
+    found = "suspect" if name in SUSPECT or (name == "header" and not inside) else ""
     if not attributes or name in ("html", "body", "main") or (name == "article" and not inside):
-        return False
+        return found
     for key, value in ATTRIBUTE.findall(attributes):
-        key, value = key.lower(), value.strip("\"'").lower()
-        if key == "hidden" or (key == "aria-hidden" and value == "true") or (key == "style" and re.search(r"display\s*:\s*none", value)):
-            return True
+        key, value = key.lower(), value.strip("\"'")
+        if key == "hidden" or (key == "aria-hidden" and value.lower() == "true") or (key == "style" and re.search(r"display\s*:\s*none", value.lower())):
+            return "never"
         if key in ("class", "id", "role"):
             for one in value.split():
-                parts = set(re.findall(r"[a-z]+", one))
-                if parts & NAMES and not (inside and "header" in parts and not (parts & NAMES) - {"header"}):
-                    return True
-    return False
+                if (names := named(one)) and not (inside and names == {"header"}):
+                    found = "comments" if names & COMMENTS else found or "suspect"
+    return found
+
+
+def events(page: str) -> Iterator[tuple[str, str, str]]:
+    """``text``, and what opens, closes or is void, in order, with attributes; closed in pairs, also where a tag is left out."""
+    open_, at, lower = [], 0, page.lower()
+    while at < len(page):
+        found = MARKUP.search(page, at)
+        text = page[at : found.start() if found else len(page)]
+        if text:
+            yield "text", text, ""
+        if not found:
+            break
+        at = found.end()
+        if (name := (found["name"] or "").lower()) == "":
+            continue
+        if not found["end"]:
+            if name in RAW:
+                if name in FIELDS:
+                    yield "void", name, found["rest"]
+                close = lower.find("</" + name, at)
+                at = len(page) if close < 0 else close
+                continue
+            while open_ and (open_[-1] in CLOSES.get(name, ()) or (open_[-1] == "p" and name in BLOCKS)):
+                yield "close", open_.pop(), ""
+            if name in VOID:
+                yield "void", name, found["rest"]
+            else:
+                open_.append(name)
+                yield "open", name, found["rest"]
+        elif name in open_:
+            while True:
+                yield "close", (last := open_.pop()), ""
+                if last == name:
+                    break
+        elif name == "p":
+            yield "void", "p", ""
+    while open_:
+        yield "close", open_.pop(), ""
+
+
+@dataclass
+class Element:
+    """Sums over a page up to where an element opens, and over the element when it has closed."""
+
+    kind: str
+    name: str
+    text: int = 0
+    fields: int = 0
+    marks: int = 0
+
+
+def furniture(marked_up: Sequence[tuple[str, str, str]]) -> set[int]:
+    """Numbers of the events that open furniture.
+
+    A suspect goes if its own text is short, or little beside its fields, or less than half of the page's (four
+    fifths for comments; a quarter for what holds the headline or an article). Text of links does not count.
+    """
+    suspects, never, stack, depth, links = {}, set(), [], 0, 0
+    hidden, text, fields, marks = 0, 0, 0, 0
+    for i, (what, name, rest) in enumerate(marked_up):
+        if what == "text":
+            text += len(" ".join(name.split())) if not (hidden or links) else 0
+        elif what == "void":
+            fields += name in FIELDS and not hidden and "hidden" not in rest.lower()
+        elif what == "open":
+            kind = suspicion(name, rest, depth > 0)
+            fields += name in FIELDS and not hidden
+            if kind == "never":
+                never.add(i)
+            elif kind:
+                suspects[i] = Element(kind, name, text, fields, marks)
+            stack.append((i, kind))
+            hidden += kind == "never"
+            depth += name in ("article", "main")
+            marks += name in ("article", "main", "h1") and not hidden
+            links += name == "a"
+        else:
+            at, kind = stack.pop()
+            hidden -= kind == "never"
+            depth -= name in ("article", "main")
+            links -= name == "a"
+            if at in suspects:
+                e = suspects[at]
+                e.text, e.fields, e.marks = text - e.text, fields - e.fields, marks - e.marks
+    for i, e in suspects.items():
+        if e.kind == "comments":
+            holds = 5 * e.text > 4 * text
+        else:
+            holds = 2 * e.text > text or (e.marks > 0 and 4 * e.text > text)
+        long = e.text >= SHORT or (e.text == text and (e.marks > 0 or e.name == "form"))
+        if not (holds and long and e.text >= 40 * e.fields):
+            never.add(i)
+    return never
 
 
 @dataclass
@@ -83,30 +195,23 @@ class Stripped:
 
 def strip(page: str, gap: int) -> Stripped:
     """Markup away; furniture away, whose place outside an article becomes a gap."""
-    out, open_, skipped, links, depth, at = Stripped(gap), [], None, 0, 0, 0
-    lower = page.lower()
-    while at < len(page):
-        found = MARKUP.search(page, at)
-        text = page[at : found.start() if found else len(page)]
-        if skipped is None and text:
-            out.parts.append(text)
-            out.linked += len(text.strip()) if links else 0
-        if not found:
-            break
-        at = found.end()
-        if (name := (found["name"] or "").lower()) == "":
-            continue
-        if not found["end"]:
-            if name in RAW:
-                close = lower.find("</" + name, at)
-                at = len(page) if close < 0 else close
-                continue
-            while open_ and open_[-1] in CLOSES.get(name, ()) and skipped != len(open_) - 1:
-                open_.pop()
+    marked_up = list(events(page))
+    gone = furniture(marked_up)
+    out, open_, skipped, links, depth = Stripped(gap), 0, None, 0, 0
+    for i, (what, name, _) in enumerate(marked_up):
+        if what == "text":
             if skipped is None:
-                if is_furniture(name, found["rest"], depth > 0):
-                    if name not in VOID:
-                        skipped = len(open_)
+                out.parts.append(name)
+                out.linked += len(name.strip()) if links else 0
+        elif what == "void":
+            if skipped is None and name == "br":
+                out.parts.append(" ")
+            elif skipped is None and name in BLOCKS:
+                out.end_line(depth > 0)
+        elif what == "open":
+            if skipped is None:
+                if i in gone:
+                    skipped = open_
                     if not depth:
                         out.end_region(False)
                     elif name in BLOCKS:
@@ -119,30 +224,22 @@ def strip(page: str, gap: int) -> Stripped:
                     depth += 1
                 elif name in BLOCKS:
                     out.end_line(depth > 0)
-                elif name == "br":
-                    out.parts.append(" ")
                 links += name == "a"
-            if name not in VOID:
-                open_.append(name)
-        elif name in open_:
-            while True:
-                last = open_.pop()
-                if skipped is not None:
-                    if skipped == len(open_):
-                        skipped = None
-                elif last in ("article", "main"):
-                    depth -= 1
-                    if depth:
-                        out.end_line(True)
-                    else:
-                        out.end_region(True)
-                elif last in BLOCKS:
-                    out.end_line(depth > 0)
-                links -= last == "a" and links > 0 and skipped is None
-                if last == name:
-                    break
-        elif name == "p" and skipped is None:
-            out.end_line(depth > 0)
+            open_ += 1
+        else:
+            open_ -= 1
+            if skipped is not None:
+                if skipped == open_:
+                    skipped = None
+            elif name in ("article", "main"):
+                depth -= 1
+                if depth:
+                    out.end_line(True)
+                else:
+                    out.end_region(True)
+            elif name in BLOCKS:
+                out.end_line(depth > 0)
+            links -= name == "a" and links > 0 and skipped is None
     out.end_line(depth > 0)
     return out
 

@@ -53,3 +53,28 @@ def test_clashing_columns_and_no_rows(spark):
 
 def test_long_page():
     assert len(html_text.main_text("<article>" + "<p>some words here</p>" * 50_000)) == 16 * 50_000 - 1
+
+
+BODY = "".join(f"<p>Sentence {i} of the body, with words enough to be read as one.</p>" for i in range(12))
+
+
+@pytest.mark.parametrize("box", ['div class="elementor-widget-text-editor"', 'div class="wp-block-media-banner"', 'div class="has-sidebar"', 'div id="no-comments"', 'div class="post post-with-related"', "form action=/x", 'form class="search" id=aspnetForm', 'div class="widget"', 'div class="banner"'])
+def test_a_box_that_holds_the_page_is_no_furniture(box):
+    page = f"<body><nav><a href=/>Home</a></nav><{box}><input type=hidden name=__VIEWSTATE><input name=q>{BODY}<div class=sidebar>Side</div></{box.split()[0]}><footer>me</footer>"
+    article = f"<article><h1>Head</h1><{box}>{BODY}</{box.split()[0]}</article>"
+    assert html_text.main_text(page).count("Sentence") == html_text.main_text(article).count("Sentence") == 12
+    assert "Side" not in html_text.main_text(page)
+
+
+@pytest.mark.parametrize("box", ['div class="site-footer"', 'div class="adSlot ad-2"', 'ul class="related-posts"', 'section id="comments"', 'div role="banner"', "form", "aside", 'p class="ad"'])
+def test_furniture_beside_the_text_goes(box):
+    name = box.split()[0]
+    assert html_text.main_text(f"<body><article>{BODY}<{box}>Buy this or say so.</{name}><p>End.</p></article>").endswith("as one.\nEnd.")
+    assert "Buy" not in html_text.main_text(f"<body><div>{BODY}</div><{box}>Buy this or say so.</{name}>")
+    long = "I disagree with all of this, and at length. " * 40
+    assert "disagree" not in html_text.main_text(f"<body><article>{BODY}</article><div class=comments>{long}</div>")
+
+
+def test_a_form_of_fields_and_an_unclosed_paragraph():
+    assert html_text.main_text("<form>Name <input name=a> Password <input name=b type=password></form>") == ""
+    assert html_text.main_text("<article><p class=ad>Buy<p>Text.</article>") == "Text."
