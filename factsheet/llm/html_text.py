@@ -171,15 +171,15 @@ class Line:
 
 @dataclass
 class Stripped:
-    """Lines of a page in order, those of articles apart from the rest; a gap of empty lines where furniture stood."""
+    """Lines of a page in order, with the number of their article (0 outside); a gap of empty lines where furniture stood."""
 
     gap: int
     lines: list[Line] = field(default_factory=list)
-    article: list[bool] = field(default_factory=list)
+    article: list[int] = field(default_factory=list)
     parts: list[str] = field(default_factory=list)
     linked: int = 0
 
-    def end_line(self, inside: bool) -> None:
+    def end_line(self, inside: int) -> None:
         text = " ".join(html.unescape("".join(self.parts)).split())
         if text:
             self.lines.append(Line(text, self.linked))
@@ -187,7 +187,7 @@ class Stripped:
         self.parts.clear()
         self.linked = 0
 
-    def end_region(self, inside: bool) -> None:
+    def end_region(self, inside: int) -> None:
         self.end_line(inside)
         self.lines.extend(Line() for _ in range(self.gap))
         self.article.extend([inside] * self.gap)
@@ -197,7 +197,7 @@ def strip(page: str, gap: int) -> Stripped:
     """Markup away; furniture away, whose place outside an article becomes a gap."""
     marked_up = list(events(page))
     gone = furniture(marked_up)
-    out, open_, skipped, links, depth = Stripped(gap), 0, None, 0, 0
+    out, open_, skipped, links, depth, inside = Stripped(gap), 0, None, 0, 0, 0
     for i, (what, name, _) in enumerate(marked_up):
         if what == "text":
             if skipped is None:
@@ -207,23 +207,24 @@ def strip(page: str, gap: int) -> Stripped:
             if skipped is None and name == "br":
                 out.parts.append(" ")
             elif skipped is None and name in BLOCKS:
-                out.end_line(depth > 0)
+                out.end_line(inside if depth else 0)
         elif what == "open":
             if skipped is None:
                 if i in gone:
                     skipped = open_
                     if not depth:
-                        out.end_region(False)
+                        out.end_region(0)
                     elif name in BLOCKS:
-                        out.end_line(True)
+                        out.end_line(inside)
                 elif name in ("article", "main"):
                     if depth:
-                        out.end_line(True)
+                        out.end_line(inside)
                     else:
-                        out.end_region(False)
+                        out.end_region(0)
+                        inside += 1
                     depth += 1
                 elif name in BLOCKS:
-                    out.end_line(depth > 0)
+                    out.end_line(inside if depth else 0)
                 links += name == "a"
             open_ += 1
         else:
@@ -234,13 +235,13 @@ def strip(page: str, gap: int) -> Stripped:
             elif name in ("article", "main"):
                 depth -= 1
                 if depth:
-                    out.end_line(True)
+                    out.end_line(inside)
                 else:
-                    out.end_region(True)
+                    out.end_region(inside)
             elif name in BLOCKS:
-                out.end_line(depth > 0)
+                out.end_line(inside if depth else 0)
             links -= name == "a" and links > 0 and skipped is None
-    out.end_line(depth > 0)
+    out.end_line(inside if depth else 0)
     return out
 
 
@@ -259,22 +260,36 @@ def spans(lengths: np.ndarray, window: int, least: float) -> Iterator[tuple[int,
             yield int(a + np.argmax(lengths[a:b] > 0)), int(b)
 
 
-def main_text(page: str | None, window: int = 3, least: float = 0.25) -> str:
+def main_text(page: str | None, window: int = 3, least: float = 0.25, boost: int = 2) -> str:
     """The text between surges and dives of a page, a block a line.
 
-    Where a page marks its article, lines outside it have no length and every surge in it counts; else a surge
-    must reach ``least`` of the highest window sum, and the text of lists of links has no length.
+    The text of lists of links has no length outside an article. A span outside counts if it has ``ENOUGH``
+    text, or ``least`` of the highest window sum where that is less, and is not mostly links, or stands between two such spans; each article's spans count together, with
+    ``boost`` times their text. What is outside stays if it has the weight of the heaviest article, and an
+    article if it, or all together, has half the weight of what is outside.
     """
     if not page:
         return ""
     stripped = strip(page, window)
-    marked = any(line.text and inside for line, inside in zip(stripped.lines, stripped.article))
-    weigh = [
-        (len(line.text) if inside else 0) if marked else (0 if 2 * line.linked > len(line.text) else len(line.text))
-        for line, inside in zip(stripped.lines, stripped.article)
-    ]
-    found = spans(np.array(weigh, dtype=np.int64), window, 0.0 if marked else least)
-    return "\n".join(x.text for a, b in found for x in stripped.lines[a:b] if x.text)
+    lines, article = stripped.lines, stripped.article
+    weigh = [len(line.text) if inside or 2 * line.linked <= len(line.text) else 0 for line, inside in zip(lines, article)]
+    found = list(spans(np.array(weigh, dtype=np.int64), window, 0.0))
+    own = [sum(len(x.text) - x.linked for x in lines[a:b]) for a, b in found]
+    within = [article[a] for a, _ in found]
+    dense = [sum(weigh[a:b]) and 2 * n >= sum(len(x.text) for x in lines[a:b]) for n, (a, b) in zip(own, found)]
+    free = [0 if inside else n for n, inside in zip(weigh, article)]
+    enough = min(ENOUGH, least * max((sum(free[i : i + window]) for i in range(len(free))), default=0))
+    sound = [i for i, n in enumerate(own) if not within[i] and n >= enough and dense[i]]
+    outside = [i for i, n in enumerate(own) if not within[i] and dense[i] and sound and sound[0] <= i <= sound[-1]]
+    around = sum(own[i] for i in outside)
+    weights = {}
+    for i, (a, b) in enumerate(found):
+        if within[i]:
+            weights[within[i]] = weights.get(within[i], 0) + boost * sum(weigh[a:b])
+    kept = set(outside) if around >= max(weights.values(), default=0) else set()
+    together = 2 * sum(weights.values()) >= around
+    kept |= {i for i, g in enumerate(within) if g and (together or 2 * weights[g] >= around)}
+    return "\n".join(x.text for i, (a, b) in enumerate(found) if i in kept for x in lines[a:b] if x.text)
 
 
 def extract(pages: DataFrame, *, keep: tuple[str, ...] | None = None, window: int = 3) -> DataFrame:

@@ -78,3 +78,31 @@ def test_furniture_beside_the_text_goes(box):
 def test_a_form_of_fields_and_an_unclosed_paragraph():
     assert html_text.main_text("<form>Name <input name=a> Password <input name=b type=password></form>") == ""
     assert html_text.main_text("<article><p class=ad>Buy<p>Text.</article>") == "Text."
+
+
+CARD = "<article><h3>Also read</h3><p>A card of a few words.</p></article>"
+
+
+@pytest.mark.parametrize("cards", [1, 5])
+@pytest.mark.parametrize("box", ["div", "section"])
+def test_teaser_articles_do_not_take_the_page(box, cards):
+    long = "<p>" + "A sentence of the body that goes on for a while. " * 20 + "</p>"
+    got = html_text.main_text(f"<body><nav>menu</nav><{box}><h1>Head</h1>{long * 3}</{box}>{CARD * cards}<footer>me</footer>")
+    assert got.count("A sentence") == 60 and "Also read" not in got
+    assert html_text.main_text(f"<body>{CARD * cards}<{box}>{long}</{box}>").count("A sentence") == 20
+
+
+def test_an_article_outweighs_what_is_beside_it():
+    beside = "<div><p>" + "Text of the page beside the article, not named as furniture. " * 5 + "</p></div>"
+    assert html_text.main_text(f"<body>{beside}<article>{BODY}</article>{beside}").count("Sentence") == 12
+    assert "beside" not in html_text.main_text(f"<body>{beside}<article>{BODY}</article>{beside}")
+    posts = "".join(f"<article><h2>Post {i}</h2><p>{'Words of a post. ' * (40 if i % 2 else 2)}</p></article>" for i in range(6))
+    assert html_text.main_text(f"<body><div>{posts}</div>").count("Post") == 6
+
+
+def test_paragraphs_between_adverts():
+    ad = '<div class="ad">Buy</div>'
+    long, closing = "<p>" + "Long words of prose. " * 72 + "</p>", "<p>" + "The closing words. " * 16 + "</p>"
+    got = html_text.main_text(f"<body><div>{long}{ad}<p>Short one.</p>{ad}{long}{ad}{closing}{ad}</div><ul><li><a href=/>{'Link of a list ' * 30}</a></ul><footer>me</footer><p>tail</p>")
+    assert got.count("Long words") == 144 and "Short one." in got and got.endswith("The closing words.")
+    assert html_text.main_text(f"<body><p>Only this.</p>{ad}<p>Or.</p>") == "Only this.\nOr."
