@@ -50,7 +50,7 @@ def indicators(text: str | None, buckets: int, longest: int = 3) -> list[int]:
 class Model:
     """Margin of a text: its ``weights`` over the length of its vector of ratios (``squares``), plus the bias.
 
-    ``slope`` and ``offset`` turn margins to log-odds.
+    ``slope`` and ``offset`` turn margins to log-odds. ``learnt`` says that both classes were there to learn from.
     """
 
     weights: np.ndarray
@@ -58,6 +58,7 @@ class Model:
     bias: float = 0.0
     slope: float = 1.0
     offset: float = 0.0
+    learnt: bool = True
 
     def margin(self, found: Sequence[Sequence[int]]) -> np.ndarray:
         rows = [np.asarray(x, np.int64) for x in found]
@@ -127,7 +128,7 @@ def fit(found: DataFrame, labels: DataFrame, *, buckets: int, most_rows: int = 1
     y = np.array([r["good"] for r in drawn], dtype=np.float64)
     if len(set(y)) < 2:
         share = (y.sum() + 1) / (len(y) + 2)
-        return Model(np.zeros(buckets), np.zeros(buckets), offset=float(np.log(share / (1 - share))))
+        return Model(np.zeros(buckets), np.zeros(buckets), offset=float(np.log(share / (1 - share))), learnt=False)
     p, q = smooth + good, smooth + every - good
     ratio = np.where(every > 0, np.log(p / p.sum()) - np.log(q / q.sum()), 0.0)
     sample = [np.array(r["found"], np.int64) for r in drawn]
@@ -161,8 +162,14 @@ def classify(documents: DataFrame, labels: DataFrame, *, buckets: int = 1 << 16,
 
 
 def good_documents(documents: DataFrame, labels: DataFrame, *, buckets: int = 1 << 16, least: float = 0.7, **options) -> DataFrame:
-    """The rows of ``documents`` with a score of at least ``least``, with their columns."""
+    """The rows of ``documents`` with a score of at least ``least``, with their columns.
+
+    Nothing is rejected if fewer than two classes were there to learn from: without labels, without labels of
+    these documents, or with labels of one class.
+    """
     model = fit(featurized(documents, buckets, ["doc_id"]), labels, buckets=buckets, **options)
+    if not model.learnt:
+        return documents
     plain, columns = set_aside(documents, ["score"])
     scored = map_text(plain, "score double", lambda texts: [model.score([indicators(t, buckets) for t in texts])])
     return scored.filter(F.col("score") >= least).select(*columns)

@@ -39,3 +39,10 @@ def test_run(spark):
     rows = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
     assert rows.columns == ["doc_id", "lang", "source", "n_tokens", "ids"] and rows.count() > 0
     assert corpus_pipeline.ORACLE_SQL is None and 4 <= len(corpus_pipeline.STAGES) <= 5
+
+
+def test_stages_keep_documents_without_labels(spark, tmp_path):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    spark.read.parquet("/root/testdata/sf0.001/labels.parquet").limit(0).write.parquet(f"{tmp_path}/labels.parquet")
+    assert corpus_pipeline.classifier(spark, docs, str(tmp_path)).count() == docs.count() > 0
+    assert corpus_pipeline.rules(spark, docs, str(tmp_path)).count() > 0

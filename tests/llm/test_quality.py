@@ -116,3 +116,12 @@ def test_dual_descent_reaches_the_optimum():
 def test_indicators(text):
     found = qc.indicators(text, 1000)
     assert found == sorted(set(found)) and all(0 <= b < 1000 for b in found)
+
+
+def test_without_two_classes_nothing_is_rejected(spark):
+    docs, labels = frames(spark)
+    others = labels.withColumn("doc_id", F.col("doc_id") + 10**6)
+    for known in (labels.limit(0), labels.filter("quality = 1"), labels.filter("quality = 0"), others):
+        kept = qc.good_documents(docs, known, buckets=512)
+        assert kept.columns == docs.columns and kept.count() == docs.count()
+    assert qc.good_documents(docs, labels, buckets=512).count() < docs.count()
