@@ -1,20 +1,24 @@
-"""Quality classifier: n-gram indicators scaled by naive-Bayes log-count ratios, under a linear hinge loss."""
+"""Quality classifier: n-gram indicators of word forms and of words, scaled by naive-Bayes log-count ratios, under a linear hinge loss."""
 
 from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from factsheet.llm.common import checkpointed, map_text, set_aside, words
 
 _FORM = bytes(65 if 65 <= c <= 90 else 97 if 97 <= c <= 122 or c >= 128 else 48 if 48 <= c <= 57 else c for c in range(256))
 _RUN = re.compile(rb"(.)\1+", re.S)
+_MARKS = re.compile(r"^[\W_]+|[\W_]+$")
+#: Buckets that the counts of a task travel in at once.
+_CHUNK = 4096
 
 
 @lru_cache(maxsize=30_000)
@@ -23,27 +27,63 @@ def form(word: bytes) -> bytes:
     return _RUN.sub(rb"\1", word.translate(_FORM))
 
 
-@lru_cache(maxsize=50_000)
-def bucket(ngram: tuple[bytes, ...], buckets: int) -> int:
-    return zlib.crc32(b"\x00".join(ngram)) % buckets
+@lru_cache(maxsize=30_000)
+def hashes(word: bytes) -> tuple[int, int]:
+    """Hashes of a word's form, and of the word in lower case without the marks around it."""
+    plain = word.decode("utf-8", "replace").casefold()
+    return zlib.crc32(form(word)), zlib.crc32((_MARKS.sub("", plain) or plain).encode())
 
 
-def indicators(text: str | None, buckets: int, longest: int = 3) -> list[int]:
-    """Buckets of the n-grams of a text, each once, sorted.
+def _ngrams(tokens: np.ndarray, longest: int) -> np.ndarray:
+    """A hash of each n-gram of up to ``longest`` tokens, by a polynomial modulo 2^64 and a mix of its bits."""
+    found, value = [], np.zeros(len(tokens), np.uint64)
+    for n in range(1, longest + 1):
+        if len(tokens) < n:
+            break
+        value = value[: len(tokens) - n + 1] * np.uint64(0x9E3779B97F4A7C15) + tokens[n - 1 :] + np.uint64(n)
+        found.append(value)
+    out = np.concatenate(found) if found else value
+    out = (out ^ (out >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    return out ^ (out >> np.uint64(29))
+
+
+def features(text: str | None, buckets: int, longest: int = 3, longest_words: int = 2) -> np.ndarray:
+    """Buckets of the n-grams of a text, each once, sorted: of forms in the first quarter, of words in the rest.
 
-    A token is a word's form; ``=`` for a word equal to the one before it. A line that equals an earlier one,
-    and a text's order of length, are n-grams of their own. So no n-gram depends on a language's vocabulary.
+    A form's token is ``=`` for a word equal to the one before it. A line that equals an earlier one, and a
+    text's order of length, are n-grams of their own.
     """
-    tokens = words(text)
-    forms = [form(w) if w != before else b"=" for w, before in zip(tokens, [b"", *tokens])]
-    found = {(f,) for f in forms}
-    for n in range(2, longest + 1):
-        found.update(zip(*[forms[i:] for i in range(n)]))
+    tokens, quarter = words(text), max(buckets // 4, 1)
+    both = np.array([hashes(w) for w in tokens], np.uint64).reshape(-1, 2)
+    forms = both[:, 0].copy()
+    forms[1:][[a == b for a, b in zip(tokens, tokens[1:])]] = zlib.crc32(b"=")
+    own = [b"length%d" % len(tokens).bit_length()]
     lines = [x for x in (text or "").split("\n") if x.strip()]
     if len(set(lines)) < len(lines):
-        found.add((b"line", b"="))
-    found.add((b"length", b"%d" % len(tokens).bit_length()))
-    return sorted({bucket(x, buckets) for x in found})
+        own.append(b"line=")
+    shapes = np.concatenate([_ngrams(forms, longest) % np.uint64(quarter), np.array([zlib.crc32(x) % quarter for x in own], np.uint64)])
+    found = [shapes]
+    if buckets > quarter:
+        found.append(_ngrams(both[:, 1], longest_words) % np.uint64(buckets - quarter) + np.uint64(quarter))
+    return np.unique(np.concatenate(found)).astype(np.int32)
+
+
+def indicators(text: str | None, buckets: int, longest: int = 3) -> list[int]:
+    """The ``features`` as a list."""
+    return features(text, buckets, longest).tolist()
+
+
+def pack(found: np.ndarray) -> bytes:
+    """Sorted numbers as their steps in two bytes each; a step of 65,535 or more is cut, and 65,535 says that it goes on."""
+    more, rest = np.divmod(np.diff(found, prepend=0).astype(np.int64), 65535)
+    out = np.full(len(found) + int(more.sum()), 65535, "<u2")
+    out[np.arange(len(found)) + np.cumsum(more)] = rest
+    return out.tobytes()
+
+
+def unpack(data: bytes) -> np.ndarray:
+    steps = np.frombuffer(data, "<u2")
+    return np.cumsum(steps, dtype=np.int64)[steps < 65535].astype(np.int32)
 
 
 @dataclass(frozen=True)
@@ -61,7 +101,7 @@ class Model:
     learnt: bool = True
 
     def margin(self, found: Sequence[Sequence[int]]) -> np.ndarray:
-        rows = [np.asarray(x, np.int64) for x in found]
+        rows = [np.asarray(x, np.int32) for x in found]
         return np.array([self.weights[r].sum() / max(np.sqrt(self.squares[r].sum()), 1e-12) for r in rows]) + self.bias
 
     def score(self, found: Sequence[Sequence[int]]) -> np.ndarray:
@@ -107,12 +147,39 @@ def held_out() -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def featurized(documents: DataFrame, buckets: int, keep: Sequence[str]) -> DataFrame:
-    return map_text(documents, "found array<int>", lambda texts: [[indicators(t, buckets) for t in texts]], keep)
+def counted(rows: DataFrame, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of each bucket, how many of ``rows`` (``found``, ``good``) have it: good ones, and all. Summed in each task, then by chunk."""
+    chunks = -(-buckets // _CHUNK)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums = np.zeros((2, chunks * _CHUNK), "<i8")
+        for pdf in batches:
+            for found, good in zip(pdf["found"], pdf["good"]):
+                at = unpack(found)
+                sums[0, at] += good
+                sums[1, at] += 1
+        for i in range(chunks):
+            part = sums[:, i * _CHUNK : (i + 1) * _CHUNK]
+            if part.any():
+                yield pd.DataFrame({"chunk": [i], "sums": [part.tobytes()]})
+
+    def add(key: tuple, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros(2 * _CHUNK, "<i8")
+        for pdf in batches:
+            for data in pdf["sums"]:
+                total += np.frombuffer(data, "<i8")
+        yield pd.DataFrame({"chunk": [key[0]], "sums": [total.tobytes()]})
 
+    good, every = np.zeros(chunks * _CHUNK), np.zeros(chunks * _CHUNK)
+    parts = rows.select("found", "good").mapInPandas(run, "chunk int, sums binary").groupBy("chunk").applyInPandas(add, "chunk int, sums binary")
+    for r in parts.collect():
+        at = slice(r["chunk"] * _CHUNK, (r["chunk"] + 1) * _CHUNK)
+        good[at], every[at] = np.frombuffer(r["sums"], "<i8").reshape(2, -1)
+    return good[:buckets], every[:buckets]
 
-def fit(found: DataFrame, labels: DataFrame, *, buckets: int, most_rows: int = 12_000, passes: int = 12, cost: float = 1.0, smooth: float = 1.0, seed: int = 42) -> Model:
-    """A model from the labelled rows of ``found`` (``doc_id``, ``found``) that are not held out.
+
+def fit(documents: DataFrame, labels: DataFrame, *, buckets: int, most_rows: int = 12_000, passes: int = 12, cost: float = 1.0, smooth: float = 1.0, seed: int = 42) -> Model:
+    """A model from the labelled rows of ``documents`` (``doc_id``, ``text``) that are not held out.
 
     The log-count ratios count every such row. The hinge loss is fitted on at most ``most_rows`` of them, the
     first by a seeded hash of ``doc_id``, with costs that give both classes the same weight, and the logistic
@@ -120,18 +187,24 @@ def fit(found: DataFrame, labels: DataFrame, *, buckets: int, most_rows: int = 1
     every score is that class's smoothed share.
     """
     known = labels.filter(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    rows = checkpointed(found.select("doc_id", "found").join(known, "doc_id").filter(~held_out()).select("doc_id", "found", (F.col("quality") > 0).cast("int").alias("good")))
-    counts = rows.select(F.explode("found").alias("b"), "good").groupBy("b").agg(F.sum("good").alias("good"), F.count("good").alias("all")).toPandas()
-    drawn = rows.orderBy(F.xxhash64(F.lit(seed), "doc_id"), "found").limit(most_rows).select("found", "good").collect()
-    good, every = np.zeros(buckets), np.zeros(buckets)
-    good[counts["b"]], every[counts["b"]] = counts["good"], counts["all"]
+    texts = documents.select("doc_id", "text").filter(F.col("doc_id").isNotNull() & ~held_out())
+    rows = texts.join(known.hint("merge"), "doc_id").select("doc_id", "text", (F.col("quality") > 0).cast("int").alias("good"))
+    rows = checkpointed(map_text(rows, "found binary", lambda texts: [[pack(features(t, buckets)) for t in texts]], ["doc_id", "good"]))
+    good, every = counted(rows, buckets)
+    drawn_hash = F.xxhash64(F.lit(seed), "doc_id")
+    share = min(1.0, (1.1 * most_rows + 1000) / max(rows.count(), 1))  # of the hashes: others would only travel to the driver to be left there
+    if share < 1:
+        near = rows.filter(drawn_hash < int((2 * share - 1) * 2.0**63))
+    else:
+        near = rows
+    drawn = near.orderBy(drawn_hash, "found").limit(most_rows).select("found", "good").collect()
     y = np.array([r["good"] for r in drawn], dtype=np.float64)
     if len(set(y)) < 2:
         share = (y.sum() + 1) / (len(y) + 2)
         return Model(np.zeros(buckets), np.zeros(buckets), offset=float(np.log(share / (1 - share))), learnt=False)
     p, q = smooth + good, smooth + every - good
     ratio = np.where(every > 0, np.log(p / p.sum()) - np.log(q / q.sum()), 0.0)
-    sample = [np.array(r["found"], np.int64) for r in drawn]
+    sample = [unpack(r["found"]) for r in drawn]
     share = y.mean()
     weights, bias = descend(sample, 2 * y - 1, ratio, cost * np.where(y > 0, 0.5 / share, 0.5 / (1 - share)), passes=passes, seed=seed)
     raw = Model(weights * ratio, ratio**2, bias)
@@ -139,37 +212,30 @@ def fit(found: DataFrame, labels: DataFrame, *, buckets: int, most_rows: int = 1
     return Model(raw.weights, raw.squares, bias, slope, offset)
 
 
-def _scored(found: DataFrame, model: Model, keep: Sequence[str]) -> DataFrame:
-    schema = found.select(*[F.col(f"`{c}`") for c in keep]).schema.add("score", "double")
-
-    def run(batches):
-        for pdf in batches:
-            yield pdf[list(keep)].assign(score=model.score(pdf["found"]))
-
-    return found.mapInPandas(run, schema)
+def _scored(documents: DataFrame, model: Model, buckets: int, keep: Sequence[str]) -> DataFrame:
+    return map_text(documents, "score double", lambda texts: [model.score([features(t, buckets) for t in texts])], keep)
 
 
-def classify(documents: DataFrame, labels: DataFrame, *, buckets: int = 1 << 16, least: float = 0.7, **options) -> DataFrame:
+def classify(documents: DataFrame, labels: DataFrame, *, buckets: int = 1 << 18, least: float = 0.7, **options) -> DataFrame:
     """``doc_id``, ``held_out``, ``score`` and ``predicted`` (1 if the score is at least ``least``) of every document.
 
     Only the text is an input of the score; an empty or null one is scored by its few features and the bias.
     Rows are scored each; a ``doc_id`` labelled twice counts by its highest label; a row without ``doc_id`` is
     scored but not learnt from, and is not held out. Other columns play no part.
     """
-    found = checkpointed(featurized(documents, buckets, ["doc_id"]))
-    scored = _scored(found, fit(found, labels, buckets=buckets, **options), ["doc_id"])
+    scored = _scored(documents, fit(documents, labels, buckets=buckets, **options), buckets, ["doc_id"])
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= least).cast("int").alias("predicted"))
 
 
-def good_documents(documents: DataFrame, labels: DataFrame, *, buckets: int = 1 << 16, least: float = 0.7, **options) -> DataFrame:
+def good_documents(documents: DataFrame, labels: DataFrame, *, buckets: int = 1 << 18, least: float = 0.7, **options) -> DataFrame:
     """The rows of ``documents`` with a score of at least ``least``, with their columns.
 
     Nothing is rejected if fewer than two classes were there to learn from: without labels, without labels of
     these documents, or with labels of one class.
     """
-    model = fit(featurized(documents, buckets, ["doc_id"]), labels, buckets=buckets, **options)
+    model = fit(documents, labels, buckets=buckets, **options)
     if not model.learnt:
         return documents
     plain, columns = set_aside(documents, ["score"])
-    scored = map_text(plain, "score double", lambda texts: [model.score([indicators(t, buckets) for t in texts])])
+    scored = _scored(plain, model, buckets, plain.columns)
     return scored.filter(F.col("score") >= least).select(*columns)

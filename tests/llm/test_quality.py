@@ -125,3 +125,25 @@ def test_without_two_classes_nothing_is_rejected(spark):
         kept = qc.good_documents(docs, known, buckets=512)
         assert kept.columns == docs.columns and kept.count() == docs.count()
     assert qc.good_documents(docs, labels, buckets=512).count() < docs.count()
+
+
+def test_words_tell_documents_of_the_same_shape_apart(spark):
+    rng = np.random.default_rng(3)
+    good, bad = "river stone garden letter morning window bridge winter".split(), "casino bonus lottery jackpot viagra cheap winner prizes".split()
+    text = lambda own: " ".join(rng.choice(own + "with that from this have been".split(), 20))
+    docs = spark.createDataFrame([(i, text(bad if i % 2 else good)) for i in range(400)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1 - i % 2) for i in range(400)], "doc_id long, quality int")
+    rows = qc.classify(docs, labels).filter("held_out").collect()
+    assert len(rows) > 50 and np.mean([r.predicted == 1 - r.doc_id % 2 for r in rows]) > 0.95
+
+
+def test_words_count_without_case_and_marks():
+    first, second, other = (set(qc.indicators(x, 1 << 18)) for x in ("cheap pills now", "(Cheap) pills, now", "small hills now"))
+    words = lambda x: {b for b in x if b >= 1 << 16}
+    assert len(words(first)) == 5 and words(first) == words(second) and first != second
+    assert first - words(first) == other - words(other) and len(words(first) & words(other)) == 1
+
+
+@pytest.mark.parametrize("found", [[], [0], [0, 65534, 65535, 131069, 131070, 131071, 400_000], [65535], [262_143]])
+def test_packed_numbers(found):
+    assert qc.unpack(qc.pack(np.array(found, np.int32))).tolist() == found
