@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Sequence
 
 from pyspark.sql import Column, functions as F
 
@@ -73,3 +74,18 @@ def part_from_right(value: Column | str, n: int, sep: str = ".", limit: int = 4)
     """The ``n``-th part counted from the right; NULL when absent, empty or over ``limit`` parts."""
     parts = F.split(as_column(value), re.escape(sep))
     return F.when(F.size(parts) <= limit, F.nullif(F.try_element_at(parts, F.lit(-n)), F.lit("")))
+
+
+def ignoring_case(column: Column | str) -> Column:
+    """Text that compares, groups, sorts and joins without case, and keeps its spelling."""
+    return F.collate(as_column(column), "UTF8_LCASE")
+
+
+def exact(column: Column | str) -> Column:
+    """Text that compares byte by byte again."""
+    return F.collate(as_column(column), "UTF8_BINARY")
+
+
+def isin_ignoring_case(column: Column | str, values: Sequence[str]) -> Column:
+    """Membership without case; NULL for NULL, false for no values."""
+    return ignoring_case(column).isin(*[F.collate(F.lit(v), "UTF8_LCASE") for v in values])

@@ -6,35 +6,18 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from factsheet.sources.publish import checkpointed
+from factsheet.operators.ranges import Running, accumulate
 
 
 def number_in_group(df: DataFrame, keys: Sequence[str], order_by: str, name: str = "row_num", *, partitions: int | None = None) -> DataFrame:
     """``row_number`` per group for groups that may be too large for one task.
 
-    ``order_by`` is a unique column; NULL keys form a group. Rows are dealt to ``partitions`` ranges of (keys,
-    ``order_by``), as many as the session shuffles to unless stated, and numbered inside (group, range); the rows
-    that a group has in earlier ranges are added. So a group of any size takes as many tasks as it fills ranges.
-    Spark's bounded sample sets the ranges, and the numbers do not depend on where they lie. The numbered rows are
-    kept in the shared folder, so that a lost task cannot deal them anew: the table is read once for the
-    sample and once for the rows.
+    ``order_by`` is a unique column; NULL keys form a group. The rows go through one shuffle, by their group; one
+    with a large part of the table (one row in ``partitions``, if given) is cut into ranges of ``order_by`` and the
+    rows in its earlier ranges are added. Numbers do not depend on where the ranges lie. Nothing is stored.
     """
-    spark = df.sparkSession
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    # A struct key compares NULL fields as equal.
-    dealt = df.withColumn("_key", F.struct(*keys)).repartitionByRange(n, "_key", order_by).withColumn("_range", F.spark_partition_id())
-    inside = checkpointed(dealt.withColumn("_in", F.row_number().over(Window.partitionBy("_key", "_range").orderBy(order_by))))
-    earlier = Window.partitionBy("_key").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        inside.groupBy("_key", "_range")
-        .agg(F.max("_in").cast("bigint").alias("_n"))
-        .withColumn("_before", F.sum("_n").over(earlier))
-        .filter(F.col("_before") > 0)
-        .select("_key", "_range", "_before")
-    )
-    return inside.join(offsets, ["_key", "_range"], "left").select(
-        *df.columns, (F.col("_in") + F.coalesce("_before", F.lit(0))).cast("bigint").alias(name)
-    )
+    cut = {} if partitions is None else {"share": partitions, "hot_rows": 0}
+    return accumulate(df, keys, order_by, [Running(name, F.lit(1).cast("bigint"))], peers=False, **cut)
 
 
 def later_copies(df: DataFrame, keys: Sequence[str], order_by: str, name: str = "row_num") -> DataFrame:

@@ -9,7 +9,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from factsheet.functions.measures import int_quotient, row_count
-from factsheet.functions.text import normalized_key
+from factsheet.functions.text import ignoring_case, normalized_key
 
 
 def join_on_normalized(left: DataFrame, right: DataFrame, left_key: str, right_key: str) -> DataFrame:
@@ -93,6 +93,42 @@ class Measure:
         raise ValueError(f"unknown measure {self.how}")
 
 
+# Groups of one side that meet in a task.
+_BLOCK = 1000
+
+
+def in_blocks(left: DataFrame, right: DataFrame, on: str, left_by: Sequence[str], right_by: Sequence[str], *, block: int = _BLOCK) -> DataFrame:
+    """Inner join of two reduced sides, one row per (key, group) on each, however many groups a key has on both.
+
+    Spark does not split a join of aggregates, so one key's pairs would be one task's work. Here the groups of a key are
+    counted on both sides. One with more than ``block`` by ``block`` pairs, and more than the share of all pairs that
+    bounds the number of such keys, is laid out as a grid: a left row goes to one line of it, by a hash of its group,
+    and to all columns, a right row the other way round, and each cell is joined by itself. So every pair meets
+    once, and a row is repeated once per ``block`` groups of the other side. Keys without pairs, NULL among them, are left out.
+    """
+
+    def groups(df: DataFrame, name: str) -> DataFrame:
+        # With all columns in use: Spark then runs the shuffle under it once.
+        used = F.greatest(row_count(), *[F.count(c) for c in df.columns if c != on])
+        return df.filter(F.col(on).isNotNull()).groupBy(on).agg(used.alias(name))
+
+    counted = groups(left, "_lefts").join(groups(right, "_rights"), on)
+    pairs = F.col("_lefts").cast("double") * F.col("_rights")
+    total = counted.agg(F.sum(pairs)).scalar()
+    many = pairs > F.greatest(F.lit(float(block) * block), total / _MAX_HOT_KEYS)
+    lines, columns = (F.ceil(F.col(n) / block).cast("int") for n in ("_lefts", "_rights"))
+    grid = F.broadcast(counted.filter(many).select(on, lines.alias("_lines"), columns.alias("_columns")))
+
+    def dealt(df: DataFrame, by: Sequence[str], own: str, other: str) -> DataFrame:
+        placed = df.filter(F.col(on).isNotNull()).join(grid, on, "left")
+        size, copies = F.coalesce(f"{own}s", F.lit(1)), F.coalesce(f"{other}s", F.lit(1))
+        at = F.pmod(F.xxhash64(*by), size).cast("int")
+        return placed.withColumn(own, at).withColumn(other, F.explode(F.sequence(F.lit(0), copies - 1))).drop("_lines", "_columns")
+
+    l, r = dealt(left, left_by, "_line", "_column"), dealt(right, right_by, "_column", "_line")
+    return l.join(r, [on, "_line", "_column"]).drop("_line", "_column")
+
+
 def fanout_aggregate(
     left: DataFrame,
     right: DataFrame,
@@ -103,6 +139,7 @@ def fanout_aggregate(
     left_measures: Sequence[Measure] = (),
     right_measures: Sequence[Measure] = (),
     rows: str = "n",
+    block: int = _BLOCK,
 ) -> DataFrame:
     """Group the join of two tables whose key repeats on both sides, without that join.
 
@@ -111,13 +148,17 @@ def fanout_aggregate(
     as the other side has rows, a maximum is unchanged and a mean divides the two.
     The result equals that of grouping the full join; counts and integer sums come out
     as decimals of 38 digits.
+
+    A key with many groups on both sides still has many pairs of them. ``in_blocks`` deals its rows out, so that
+    no task makes more than ``block`` groups by ``block``.
     """
 
     def reduce_side(df: DataFrame, by: Sequence[str], measures: Sequence[Measure], side: str) -> DataFrame:
         partials = [p for i, m in enumerate(measures) for p in m.partials(f"_{side}{i}")]
         return df.groupBy(on, *by).agg(row_count().alias(f"_{side}_rows"), *partials)
 
-    pairs = reduce_side(left, left_by, left_measures, "l").join(reduce_side(right, right_by, right_measures, "r"), on)
+    l, r = reduce_side(left, left_by, left_measures, "l"), reduce_side(right, right_by, right_measures, "r")
+    pairs = in_blocks(l, r, on, left_by, right_by, block=block) if left_by and right_by else l.join(r, on)
     return pairs.groupBy(*left_by, *right_by).agg(
         F.sum(F.col("_l_rows").cast(_ROWS) * F.col("_r_rows").cast(_ROWS)).alias(rows),
         *[m.final(f"_l{i}", "_r_rows") for i, m in enumerate(left_measures)],
@@ -125,6 +166,11 @@ def fanout_aggregate(
     )
 
 
+def join_ignoring_case(left: DataFrame, right: DataFrame, left_key: str, right_key: str, how: str = "inner") -> DataFrame:
+    """Equi join on text compared without case; both sides keep their columns and their own spelling."""
+    return left.join(right, ignoring_case(left[left_key]) == ignoring_case(right[right_key]), how)
+
+
 def absent_everywhere(base: DataFrame, key: str, sources: Sequence[DataFrame]) -> DataFrame:
     """Rows of ``base`` whose key is in none of the sources.
 

@@ -18,6 +18,8 @@ from factsheet.functions.measures import (
     weighted_sum,
 )
 from factsheet.operators.joins import Tagged, combine_sources, lookup
+from factsheet.operators.ranges import HOT_ROWS, SHARE, Running, accumulate
+from factsheet.sources.publish import checkpointed
 
 # The weight of each source in the score, as shares of 1.
 WEIGHTS = {
@@ -148,6 +150,23 @@ def rank_within(df: DataFrame, group: str, score: str, name: str = "rank_within_
     return lookup(keyed, ranks, "_key", "_rows", how="inner").drop("_key")
 
 
+def rank_any(
+    df: DataFrame, group: str, score: str, name: str = "rank_within_group", *, share: int = SHARE, hot_rows: int = HOT_ROWS
+) -> DataFrame:
+    """``rank_within`` for scores of any type that has an order, of which there may be as many as rows.
+
+    Rows are counted per group and score, so equal scores meet before they are ordered. The counts are stored, and
+    a group with a large part of them is cut into ranges of the score: a rank is one more than the rows with a
+    higher score in its range and in those above. NULL ranks last.
+    """
+    # A struct is never NULL and compares NULL fields as equal.
+    keyed = df.withColumn("_key", F.struct(F.col(group).alias("g"), F.col(score).alias("s")))
+    counts = checkpointed(keyed.groupBy("_key").agg(row_count().alias("_rows"))).select("_key", "_rows", "_key.g", "_key.s")
+    up_to = accumulate(counts, ["g"], "s", [Running("_up_to", F.col("_rows"))], descending=True, share=share, hot_rows=hot_rows)
+    ranks = up_to.select("_key", "_rows", (F.col("_up_to") - F.col("_rows") + 1).alias(name))
+    return lookup(keyed, ranks, "_key", "_rows", how="inner").drop("_key")
+
+
 def score_tier(score: Column | str, tiers: Sequence[tuple[int, str]] = TIERS, top: str = TOP_TIER) -> Column:
     """Tier label; a missing score has no tier."""
     return bucketize(score, below=tiers, otherwise=top, keep_null=True).alias("score_tier")

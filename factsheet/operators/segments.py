@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -167,3 +167,45 @@ def score_band_validation(scored: DataFrame) -> DataFrame:
         .orderBy("_lowest")
         .drop("_lowest")
     )
+
+
+def band_rank(band: Column | str) -> Column:
+    """Place of a score band, the lowest 0."""
+    labels = [NO_SIGNALS, *[label for _, label in SCORE_BANDS], TOP_BAND]
+    return (F.array_position(F.array(*map(F.lit, labels)), as_column(band)) - 1).cast("int")
+
+
+def monotone(
+    bands: DataFrame, order: str, rate: str, rows: str, *, by: Sequence[str] = (), reliable_from: int = 30
+) -> DataFrame:
+    """Judge whether ``rate`` rises or falls from band to band, for aggregated bands with a rank in ``order``.
+
+    Adds ``change`` against the next lower reliable band (NULL for the lowest), ``reliable`` (at least ``reliable_from``
+    rows and a rate), and one ``verdict`` for all bands of a group ``by``: ``rising`` or ``falling`` if every step is one way,
+    ``not falling`` or ``not rising`` if some stay level, ``level`` if all do, ``mixed`` if they go both ways, and ``too few`` with under
+    two reliable bands. Bands that are not reliable take no part in it. There is one row per band, as many as
+    labels were given, so a group of them fits in one list.
+    """
+    sound = F.coalesce((F.col(rows) >= reliable_from) & F.col(rate).isNotNull(), F.lit(False))
+    row = F.struct(F.col(order).alias("at"), F.col(rate).alias("rate"), sound.alias("reliable"), F.struct(*bands.columns).alias("band"))
+    lists = bands.groupBy(*by).agg(F.sort_array(F.collect_list(row)).alias("_bands"))
+
+    def step(band: Column, i: Column) -> Column:
+        before = F.try_element_at(F.filter(F.slice("_bands", F.lit(1), i), lambda b: b["reliable"]), F.lit(-1))
+        return F.struct(band["band"].alias("band"), band["reliable"].alias("reliable"), F.when(band["reliable"], band["rate"] - before["rate"]).alias("change"))
+
+    def count(holds: Callable[[Column], Column]) -> Column:
+        return F.size(F.filter("_steps", lambda s: holds(s["change"])))
+
+    up, down, steps = count(lambda c: c > 0), count(lambda c: c < 0), count(lambda c: c.isNotNull())
+    verdict = (
+        F.when(steps == 0, "too few")
+        .when((up > 0) & (down > 0), "mixed")
+        .when(up == steps, "rising")
+        .when(down == steps, "falling")
+        .when(up > 0, "not falling")
+        .when(down > 0, "not rising")
+        .otherwise("level")
+    )
+    stepped = lists.select(F.transform("_bands", step).alias("_steps")).select(F.explode("_steps").alias("_step"), verdict.alias("verdict"))
+    return stepped.select(*[F.col(f"_step.band.`{c}`") for c in bands.columns], "_step.reliable", "_step.change", "verdict")

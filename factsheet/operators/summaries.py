@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from factsheet.functions.measures import MONEY, int_avg, map_categories
-from factsheet.functions.text import clean_number, normalized_key, read_as
+from factsheet.functions.text import clean_number, exact, ignoring_case, normalized_key, read_as
 from factsheet.operators.joins import Measure, fanout_aggregate
 from factsheet.operators.ordering import sort_rows
 
@@ -25,6 +25,15 @@ def total_by(df: DataFrame, value: str, as_type: str, *keys: str, name: str = "t
     return df.groupBy(*keys).agg(F.sum(read_as(value, as_type)).alias(name))
 
 
+def group_ignoring_case(df: DataFrame, key: str, *measures: Column) -> DataFrame:
+    """``measures`` per text without regard to case, under the group's first spelling in byte order (capitals first).
+
+    NULL is a group of its own. The measures are combined before the shuffle, so a common text is no hot task.
+    """
+    groups = df.groupBy(ignoring_case(key).alias("_folded")).agg(F.min(exact(key)).alias(key), *measures)
+    return groups.drop("_folded")
+
+
 def listeners(streams: DataFrame, cities: DataFrame) -> DataFrame:
     """Rows of the join on city per genre and age group."""
     return fanout_aggregate(streams, cities, "city", left_by=["genre"], right_by=["age_group"], rows="total_listeners")

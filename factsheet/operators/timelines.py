@@ -10,6 +10,8 @@ from factsheet.functions.dates import as_of_date, days_between, month_start
 from factsheet.functions.measures import as_column, row_count
 from factsheet.functions.text import matches_ignoring_case
 from factsheet.operators.joins import lookup
+from factsheet.operators.ranges import HOT_ROWS, SHARE, Running, accumulate
+from factsheet.sources.publish import checkpointed
 
 
 def of_entities(df: DataFrame, entities: Sequence[str] | None) -> DataFrame:
@@ -90,6 +92,32 @@ def with_entity_total(
     return lookup(joined, totals, "entity", "_rows", how="inner").select("day", "whole_value", "entity", "part_value", "entity_total")
 
 
+def running_total(
+    df: DataFrame,
+    value: str,
+    name: str = "running_total",
+    *,
+    entity: str = "entity",
+    day: str = "day",
+    as_type: str = "double",
+    share: int = SHARE,
+    hot_rows: int = HOT_ROWS,
+) -> DataFrame:
+    """Add the entity's total of ``value`` up to and with the row's day; rows of one day share it.
+
+    Rows are summed per entity and day, and only those sums are ordered and stored, so one day may hold any part
+    of the rows. An entity with a large part of the days is cut into ranges of them: sums inside, and the totals of
+    earlier ranges on top. NULL values add nothing, a day with nothing else keeps the total before it (NULL, if
+    there is none); rows without a day come first.
+    """
+    # A struct is never NULL and compares NULL fields as equal.
+    keyed = df.withColumn("_key", F.struct(F.col(entity).alias("e"), F.col(day).alias("d")))
+    sums = keyed.groupBy("_key").agg(F.sum(F.col(value).cast(as_type)).alias("_sum"), row_count().alias("_rows"))
+    stored = checkpointed(sums).select("_key", "_sum", "_rows", "_key.e", "_key.d")
+    totals = accumulate(stored, ["e"], "d", [Running(name, F.col("_sum"))], share=share, hot_rows=hot_rows)
+    return lookup(keyed, totals.select("_key", "_rows", name), "_key", "_rows", how="inner").drop("_key")
+
+
 def _hours_of_customers(df: DataFrame, min_history: int) -> DataFrame:
     """Busiest hours first, the earlier hour on ties, and the number of rows, per known customer.
 

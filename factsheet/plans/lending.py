@@ -134,6 +134,16 @@ def alt_score_ranked(spark: SparkSession, folder: str) -> DataFrame:
     return ordering.sort_rows(ranked, F.desc("sources_present"), "rank_within_group", unique=KEY)
 
 
+@query(
+    "rank_wide_score",
+    """SELECT l_orderkey, l_linenumber, l_suppkey, l_extendedprice,
+       RANK() OVER (PARTITION BY l_suppkey ORDER BY l_extendedprice DESC NULLS LAST) AS rank_within_group FROM lineitem""",
+)
+def rank_wide_score(spark: SparkSession, folder: str) -> DataFrame:
+    lines = read_table(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", "l_extendedprice")
+    return scoring.rank_any(lines, "l_suppkey", "l_extendedprice")
+
+
 def _approval_sql(column: str) -> str:
     return f"""WITH {SCALED_SQL}
 SELECT CASE WHEN {column} < 2000 THEN '0-20' WHEN {column} < 4000 THEN '20-40' WHEN {column} < 6000 THEN '40-60'

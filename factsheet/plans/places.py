@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from factsheet.functions.measures import MONEY, map_categories
+from factsheet.functions.measures import MONEY, map_categories, row_count
+from factsheet.functions.text import ignoring_case, isin_ignoring_case
 from factsheet.operators import ordering, summaries
-from factsheet.operators.joins import join_on_normalized
+from factsheet.operators.joins import join_ignoring_case, join_on_normalized
 from factsheet.plans.registry import query
 from factsheet.plans.tables import MUSIC_SQL, cities, read_table, streams
 from factsheet.sources.publish import materialize
@@ -182,3 +183,26 @@ def join_normalized_key(spark: SparkSession, folder: str) -> DataFrame:
         "n_nationkey", F.when(F.col("n_nationkey") % 2 == 0, F.concat(F.lit("  "), F.lower("n_name"))).otherwise(odd).alias("nation")
     )
     return join_on_normalized(people, noisy, "nation_name", "nation")
+
+
+@query(
+    "ci_group_join",
+    """WITH people AS (
+  SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN lower(c_mktsegment) ELSE c_mktsegment END AS segment,
+         CASE WHEN c_custkey % 2 = 0 THEN lower(n_name) ELSE n_name END AS nation
+  FROM customer JOIN nation ON c_nationkey = n_nationkey),
+joined AS (
+  SELECT segment, n_nationkey FROM people JOIN nation ON lower(nation) = lower(n_name)
+  WHERE lower(segment) IN ('building', 'machinery', 'automobile') AND lower(nation) <> 'france')
+SELECT MIN(segment) AS segment, COUNT(*) AS customers, COUNT(DISTINCT n_nationkey) AS nations FROM joined GROUP BY lower(segment)""",
+)
+def ci_group_join(spark: SparkSession, folder: str) -> DataFrame:
+    """Filter, membership, join and group without case, on spellings that differ."""
+    customer, nation = read_table(spark, folder, "customer"), read_table(spark, folder, "nation")
+    people = customer.join(nation, customer["c_nationkey"] == nation["n_nationkey"]).select(
+        F.when(F.col("c_custkey") % 3 == 0, F.lower("c_mktsegment")).otherwise(F.col("c_mktsegment")).alias("segment"),
+        F.when(F.col("c_custkey") % 2 == 0, F.lower("n_name")).otherwise(F.col("n_name")).alias("nation"),
+    )
+    chosen = people.filter(isin_ignoring_case("segment", ["Building", "MACHINERY", "automobile"]) & (ignoring_case("nation") != ignoring_case(F.lit("France"))))
+    joined = join_ignoring_case(chosen, nation, "nation", "n_name")
+    return summaries.group_ignoring_case(joined, "segment", row_count().alias("customers"), F.count_distinct("n_nationkey").alias("nations"))

@@ -8,8 +8,8 @@ from pyspark.sql.types import DoubleType, StringType, StructField, StructType, T
 from factsheet.functions.measures import MONEY
 from factsheet.operators import ordering, timelines
 from factsheet.plans.registry import query
-from factsheet.plans.tables import READINGS_SQL, deaths, doses, order_readings
-from factsheet.sources.publish import saved_view, typed_table
+from factsheet.plans.tables import READINGS_SQL, deaths, doses, order_readings, read_table
+from factsheet.sources.publish import Expectation, append_typed, catalog_table, catalog_view, checked_publish, fresh_path, saved_view, typed_table
 
 ENTITIES = ["AFRICA", "ASIA", "EUROPE"]
 IN_SQL = "entity IN ('AFRICA', 'ASIA', 'EUROPE')"
@@ -103,6 +103,18 @@ def partition_total(spark: SparkSession, folder: str) -> DataFrame:
     return _with_total(spark, folder).orderBy("entity", "day")
 
 
+@query(
+    "running_total",
+    f"""WITH {READINGS_SQL}
+SELECT entity, day, CAST(value AS DOUBLE) AS value,
+       CAST(SUM(CAST(value AS DECIMAL(28,2))) OVER (PARTITION BY entity ORDER BY day) AS DOUBLE) AS running_total
+FROM order_readings""",
+)
+def running_total(spark: SparkSession, folder: str) -> DataFrame:
+    readings = order_readings(spark, folder).select("entity", "day", F.col("value").cast(WIDE).alias("value"))
+    return timelines.running_total(readings, "value", as_type=WIDE)
+
+
 @query(
     "positional_rename",
     f"""WITH {JOINED_SQL}
@@ -134,6 +146,57 @@ def typed(spark: SparkSession, folder: str) -> DataFrame:
     return typed_table(rows, schema, view="vaccinated_people")
 
 
+@query(
+    "append_typed",
+    f"""WITH {READINGS_SQL}
+SELECT entity, CAST(day AS TIMESTAMP) AS day, CAST(value AS DOUBLE) AS doses FROM order_readings WHERE day < DATE '1995-01-01'
+UNION ALL
+SELECT entity, CAST(day AS TIMESTAMP), CAST(value AS DOUBLE) FROM order_readings WHERE day >= DATE '1995-01-01'""",
+)
+def appended(spark: SparkSession, folder: str) -> DataFrame:
+    """Two batches into one table, and the first of them again."""
+    schema = StructType([StructField("entity", StringType()), StructField("day", TimestampNTZType()), StructField("doses", DoubleType())])
+    readings = order_readings(spark, folder)
+    early, late = (readings.filter(F.col("day") < "1995-01-01"), readings.filter(F.col("day") >= "1995-01-01"))
+    path = fresh_path(spark, "readings")
+    append_typed(early, schema, "early", path=path)
+    append_typed(late, schema, "late", path=path)
+    return append_typed(early, schema, "early", path=path)
+
+
+@query(
+    "checked_publish",
+    """WITH failing AS (
+  SELECT COUNT(*) AS total_rows, COUNT(*) FILTER (WHERE l_quantity > 49) AS many, COUNT(*) FILTER (WHERE l_discount < 0) AS negative,
+         COUNT(*) FILTER (WHERE l_shipdate < DATE '1993-01-01') AS early, COUNT(*) FILTER (WHERE l_returnflag NOT IN ('A', 'N')) AS flag FROM lineitem)
+SELECT unnest(['few pieces', 'no negative discount', 'shipped since 1993', 'known flag']) AS expectation,
+       unnest([many, negative, early, flag]) AS failed_rows, total_rows FROM failing""",
+)
+def checked(spark: SparkSession, folder: str) -> DataFrame:
+    expectations = [
+        Expectation("few pieces", F.col("l_quantity") <= 49),
+        Expectation("no negative discount", F.col("l_discount") >= 0, refuse=True),
+        Expectation("shipped since 1993", F.col("l_shipdate") >= F.lit("1993-01-01").cast("timestamp_ntz")),
+        Expectation("known flag", F.col("l_returnflag").isin("A", "N")),
+    ]
+    return checked_publish(read_table(spark, folder, "lineitem"), expectations, fresh_path(spark, "lines")).report()
+
+
+@query(
+    "catalog_view",
+    """SELECT r_name AS entity, COUNT(*) AS nations, MIN(n_name) AS first_nation FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY r_name""",
+)
+def durable_view(spark: SparkSession, folder: str) -> DataFrame:
+    for name in ("nation", "region"):
+        catalog_table(spark, f"factsheet_{name}", f"{folder}/{name}.parquet")
+    return catalog_view(
+        spark,
+        "factsheet_nations",
+        """SELECT r_name AS entity, COUNT(*) AS nations, MIN(n_name) AS first_nation
+           FROM factsheet_nation JOIN factsheet_region ON n_regionkey = r_regionkey GROUP BY r_name""",
+    )
+
+
 @query("saved_view", f"WITH {JOINED_SQL} SELECT day, {TEXT_SQL} FROM joined")
 def view(spark: SparkSession, folder: str) -> DataFrame:
     return saved_view(_with_total(spark, folder), "vaccinated_people_view")
