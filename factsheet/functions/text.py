@@ -13,16 +13,16 @@ from factsheet.functions.measures import MONEY, as_column
 # What surrounds a number that a cast reads; what is no number of the kind at all costs an exception each.
 _EDGE = r"[\x00-\x20\x7F]*"
 _INTEGER = rf"^{_EDGE}[+-]?[0-9]+{_EDGE}$"
-_DECIMAL = rf"^{_EDGE}[+-]?[\p{{Nd}}.]+([eE][+-]?\p{{Nd}}+)?{_EDGE}$"
 
 
 def read_as(value: Column | str, as_type: str) -> Column:
-    """``try_cast`` of text, with the same NULLs, that hands only text which may be of the type to the cast."""
+    """``try_cast`` of text, with the same NULLs, that hands only text which may be an integer to a cast to one.
+
+    A failed cast to an integer costs an exception each; to a decimal it costs less than a pattern on every value.
+    """
     value, kind = as_column(value), as_type.lower()
     if kind in ("int", "integer", "bigint", "long", "smallint", "short", "tinyint", "byte"):
         value = F.when(value.rlike(_INTEGER), value)
-    elif kind.startswith(("decimal", "dec", "numeric")):
-        value = F.when(value.rlike(_DECIMAL), value)
     return value.try_cast(as_type)
 
 

@@ -101,10 +101,11 @@ def in_blocks(left: DataFrame, right: DataFrame, on: str, left_by: Sequence[str]
     """Inner join of two reduced sides, one row per (key, group) on each, however many groups a key has on both.
 
     Spark does not split a join of aggregates, so one key's pairs would be one task's work. Here the groups of a key are
-    counted on both sides. One with more than ``block`` by ``block`` pairs, and more than the share of all pairs that
-    bounds the number of such keys, is laid out as a grid: a left row goes to one line of it, by a hash of its group,
-    and to all columns, a right row the other way round, and each cell is joined by itself. So every pair meets
-    once, and a row is repeated once per ``block`` groups of the other side. Keys without pairs, NULL among them, are left out.
+    counted on both sides. One with more than ``block`` by ``block`` pairs is laid out as a grid: a left row goes to one line of
+    it, by a hash of its group, and to all columns, a right row the other way round, and each cell is joined by
+    itself. So every pair meets once, and a row is repeated once per ``block`` groups of the other side. There are at most as
+    many grids as the pairs to make fill cells; Spark broadcasts them if they are few, and need not, as a key has
+    one and its reduced rows are not many. Keys without pairs, NULL among them, are left out.
     """
 
     def groups(df: DataFrame, name: str) -> DataFrame:
@@ -114,10 +115,8 @@ def in_blocks(left: DataFrame, right: DataFrame, on: str, left_by: Sequence[str]
 
     counted = groups(left, "_lefts").join(groups(right, "_rights"), on)
     pairs = F.col("_lefts").cast("double") * F.col("_rights")
-    total = counted.agg(F.sum(pairs)).scalar()
-    many = pairs > F.greatest(F.lit(float(block) * block), total / _MAX_HOT_KEYS)
     lines, columns = (F.ceil(F.col(n) / block).cast("int") for n in ("_lefts", "_rights"))
-    grid = F.broadcast(counted.filter(many).select(on, lines.alias("_lines"), columns.alias("_columns")))
+    grid = counted.filter(pairs > float(block) * block).select(on, lines.alias("_lines"), columns.alias("_columns"))
 
     def dealt(df: DataFrame, by: Sequence[str], own: str, other: str) -> DataFrame:
         placed = df.filter(F.col(on).isNotNull()).join(grid, on, "left")
