@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from factsheet.llm import byte_bpe, html_text, licenses, mixing, ngram_trie, quality_classifier, quality_rules, sentence_piece, simhash, top_k, url_filter, whitening
+from factsheet.llm import byte_bpe, html_text, licenses, mixing, ngram_trie, prefix_trie, quality_classifier, quality_rules, sentence_piece, simhash, top_k, url_filter, whitening
 from factsheet.llm.common import ship, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -75,6 +75,10 @@ def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings"))
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(table(spark, sf_dir, "conversations"))
+
+
 def op13_sentence_piece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentence_piece.digests(table(spark, sf_dir, "documents"))
 
@@ -89,7 +93,7 @@ def shipped(query: Query) -> Query:
 
 QUERIES: dict[str, Query] = {
     f.__name__: shipped(f)
-    for f in (op1_html_text, op2_byte_bpe, op3_top_k, op4_url_filter, op5_simhash, op6_quality_rules, op7_ngram_trie, op8_mixing, op9_licenses, op10_quality_classifier, op11_whitening, op13_sentence_piece)
+    for f in (op1_html_text, op2_byte_bpe, op3_top_k, op4_url_filter, op5_simhash, op6_quality_rules, op7_ngram_trie, op8_mixing, op9_licenses, op10_quality_classifier, op11_whitening, op12_prefix_trie, op13_sentence_piece)
 }
 
 ORACLES: dict[str, str] = {
