@@ -68,7 +68,7 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def spread_join(df: DataFrame, per_key: DataFrame, key: str, by: Sequence[str], copies: int = 32) -> DataFrame:
+def spread_join(df: DataFrame, per_key: DataFrame, key: str, by: Sequence[str | Column], copies: int = 32) -> DataFrame:
     """Left join each row to the one row of its key.
 
     The rows of a key go to ``copies`` tasks by a hash of the columns ``by``, and the key's one
