@@ -106,3 +106,53 @@ def test_paragraphs_between_adverts():
     got = html_text.main_text(f"<body><div>{long}{ad}<p>Short one.</p>{ad}{long}{ad}{closing}{ad}</div><ul><li><a href=/>{'Link of a list ' * 30}</a></ul><footer>me</footer><p>tail</p>")
     assert got.count("Long words") == 144 and "Short one." in got and got.endswith("The closing words.")
     assert html_text.main_text(f"<body><p>Only this.</p>{ad}<p>Or.</p>") == "Only this.\nOr."
+
+
+COMMENT = "I disagree with all of this, and at length, as a reader may. " * 30
+
+
+@pytest.mark.parametrize("box", ['div class="user-comments"', 'ol class="commentlist"', 'div id="commentSection"', 'article class="comment"', 'section class="reply"', 'div class="post-comments"'])
+def test_comments_go_however_long_they_are(box):
+    name = box.split()[0]
+    inside, beside = f"<article>{BODY}<{box}>{COMMENT}</{name}></article>", f"<div>{BODY}</div><{box}><p>{COMMENT}</p></{name}>"
+    for page in (inside, beside, f"<article><p>A short article of one line.</p></article><{box}>{COMMENT * 9}</{name}>"):
+        got = html_text.main_text(f"<body>{page}")
+        assert "disagree" not in got and ("Sentence 11" in got or got == "A short article of one line.")
+
+
+@pytest.mark.parametrize("box", ['div class="comments-open"', 'div class="has-comments"', 'div class="commentary"', 'div class="cookies-allowed"', 'main class="comments"'])
+def test_boxes_that_only_mention_a_name_stay(box):
+    assert html_text.main_text(f"<body><{box}>{BODY}</{box.split()[0]}>").count("Sentence") == 12
+
+
+@pytest.mark.parametrize("box", ['div id="CybotCookiebotDialog"', 'div class="sponsored-content"', 'div class="more-stories"', 'div class="cookieBar-text"'])
+def test_notices_and_adverts_go_by_a_word_of_their_name(box):
+    other = "<p>We and our partners, or a story of theirs.</p>" * 3
+    for page in (f"<main>{BODY}<{box}>{other}</div><p>End.</p></main>", f"<{box}>{other}</div><div>{BODY}</div>"):
+        got = html_text.main_text(f"<body>{page}")
+        assert "partners" not in got and got.count("Sentence") == 12
+
+
+@pytest.mark.parametrize("before", ["İ", "İİİ", "İ" * 30, "ẞŉǰ"])
+def test_letters_that_grow_when_lowered(before):
+    page = f"<title>{before}</title><body><article><p>{before} first</p><SCRIPT>var a = 1</Script><p>The next paragraph</p></article>"
+    assert html_text.main_text(page) == f"{before} first\nThe next paragraph"
+
+
+def test_the_length_profile_decides_where_nothing_is_named():
+    menu, foot = ("".join(f"<div>{w}</div>" for w in words.split()) for words in ("Home World Sport Money Health Travel Food Video", "Terms Privacy Contact Jobs Press Help Feeds Apps"))
+    body = "".join(f"<div>Sentence {i} of the body, with words enough to be read as one line of its text.</div>" for i in range(9))
+    got = html_text.main_text(f"<body><div>{menu}</div><div><div>A headline over the text</div>{body}</div><div>{foot}</div>").split("\n")
+    assert got.count("A headline over the text") == 1 and sum(x.startswith("Sentence") for x in got) == 9
+    assert not {"Home", "World", "Sport", "Money", "Health", "Travel"} & set(got) and not {"Jobs", "Press", "Help", "Feeds", "Apps"} & set(got)
+
+
+def test_stray_end_tags_take_linear_time():
+    import time
+
+    def seconds(n):
+        start = time.process_time()
+        html_text.main_text("<font>" * n + "</b>" * n + "<p>text")
+        return time.process_time() - start
+
+    assert seconds(32_000) < 20 * max(seconds(4000), 0.01)
