@@ -15,12 +15,12 @@ from factsheet.llm.common import checkpointed
 def quantized(vectors: DataFrame, scale: float = 256.0) -> DataFrame:
     """``vec_id`` and ``v``, each component as ``floor(scale * x)``.
 
-    Rows whose id, vector or any component is null or not finite are left out. Of rows with the same id, the
-    one with the smallest components stands.
+    Rows whose id, vector or any component is null or not finite are left out. Rows that are wholly equal, id and
+    components, are one; rows of one id with different components all stay.
     """
     usable = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     whole = F.transform("embedding", lambda x: F.floor(scale * x.cast("double")).cast("long"))
-    return vectors.filter(F.col("vec_id").isNotNull() & usable).groupBy("vec_id").agg(F.min(whole).alias("v"))
+    return vectors.filter(F.col("vec_id").isNotNull() & usable).select("vec_id", whole.alias("v")).distinct()
 
 
 def _matrix(vectors: list) -> np.ndarray:
@@ -124,11 +124,13 @@ def search(vectors: DataFrame, *, every: int = 50, k: int = 5, parts: int = 2, r
     3. Their other slices are resolved, and what reaches the cutoff is ranked; equal scores by smaller id.
 
     Queries meet the vectors in blocks of bounded size, by an equal join on block numbers. The cutoff travels
-    with its query. Vectors of any length are compared over the shorter one's components. Fewer than ``k``
+    with its query. An id with several vectors asks with each and has one ranking of all it finds; every vector of
+    another id is a candidate of its own, so an id may be found more than once. Other columns play no part.
+    Vectors of any length are compared over the shorter one's components. Fewer than ``k``
     others give all; without vectors, or without queries, there are no rows.
     """
     usable = checkpointed(quantized(vectors))
-    asked = usable.filter(F.col("vec_id") % every == 0)
+    asked = usable.filter(F.col("vec_id") % every == 0)  # with a query's cutoff for all of its vectors
     blocks = max(1, -(-asked.count() // queries_at_once))
     packed = checkpointed(_packed(usable, rows, slots))
     numbered = packed.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))

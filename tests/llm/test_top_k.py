@@ -52,3 +52,18 @@ def test_the_threshold_leaves_entries_out(spark):
     a, b = np.array([[10, 10]]), np.array([[9, 9], [1, 1], [-9, 30]])
     first, second = top_k.slices(a, b, 2)
     assert (first + second).tolist() == [[180, 20, 210]] and ((2 * first >= 180) | (2 * second >= 180)).tolist() == [[True, False, True]]
+
+
+def test_vectors_of_one_id_all_stay(spark):
+    rows = [(0, [1.0, 0.0]), (7, [1.0, 0.0]), (7, [3.0, 0.0]), (50, [0.0, 1.0]), (50, [2.0, 0.0])]
+    df = spark.createDataFrame([(i, v, 1, 2, 3) for i, v in rows], "vec_id long, embedding array<float>, rank int, score long, query_id int")
+    got = sorted(tuple(r) for r in top_k.search(df).collect() if r.query_id == 0)
+    assert got == [(0, 1, 7, 196608), (0, 2, 50, 131072), (0, 3, 7, 65536), (0, 4, 50, 0)]
+    many = [(i % 90, [float(np.float32(x)) for x in np.random.default_rng(i).normal(size=5)]) for i in range(400)]
+    found = sorted(tuple(r) for r in top_k.search(spark.createDataFrame([(i, v, 0) for i, v in many], SCHEMA), rows=32).collect())
+    v = [(i, [math.floor(256 * float(np.float32(x))) for x in e]) for i, e in many]
+    expected = []
+    for q in (0, 50):
+        scores = sorted((-sum(a * b for a, b in zip(x, y)), c) for i, x in v if i == q for c, y in v if c != q)[:5]
+        expected += [(q, n + 1, c, -s) for n, (s, c) in enumerate(scores)]
+    assert found == expected
