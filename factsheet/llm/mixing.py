@@ -59,23 +59,26 @@ def targets(sources: DataFrame, weights: Sequence[int], cap: int) -> DataFrame:
     )
 
 
-def mix(documents: DataFrame, *, weights: Sequence[int] = (1, 2, 3), cap: int = 3, blocks: int = 1 << 20, shards: int = 1024, seed: int = 42) -> DataFrame:
+def mix(documents: DataFrame, *, weights: Sequence[int] = (1, 2, 3), cap: int = 3, blocks: int = 1 << 20, shards: int = 1024, shard_rows: int = 250_000, seed: int = 42) -> DataFrame:
     """Every document with ``size``, ``source_size``, ``target`` and ``taken``, the words of it that the mix takes.
 
-    A document's size is its number of words (null: 0). Documents go to ``shards`` shards of their source by a
-    seeded hash and stand there in seeded order; a shard's words in that order are cut into blocks of as many
+    A document's size is its number of words (null: 0). Documents go to shards of their source by a seeded hash and
+    stand there in seeded order: to ``shards`` of them, or as many more as leave about ``shard_rows`` rows of the table in each; a shard's words in that order are cut into blocks of as many
     words each, the whole table into about ``blocks``. Blocks are apportioned to sources by target, then to the
     shards of a source. A shard with quota q of n blocks takes each of them ``q div n`` times, and the other
     ``q mod n`` evenly from a seeded start, so no document is taken more than ``cap`` times. Every sum runs over
-    one shard, so a source that holds most rows is spread over ``shards`` windows; only the table of sources,
-    one row each, meets in one task.
+    one shard, so a source that holds most rows is spread over all of them. Rows without ``doc_id`` are spread by their text
+    and the partition they come from, so they fill no shard of their own. Only the table of sources, one row each, meets
+    in one task: sources are meant to be few, as the weights that repeat over them are.
 
     A null source is a source; repeated rows are documents of their own; equal rows are alike, so reruns agree.
     Other columns stay, but for those of the added names, which are replaced, and those that begin with ``_``,
     which are dropped. An empty table gives an empty one; documents without words have ``taken`` 0.
     """
     documents = documents.drop(*[c for c in documents.columns if c.startswith("_") or c.lower() in ADDED])
-    start = F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("size"))
+    shards = max(shards, -(-documents.count() // shard_rows))
+    anonymous = F.when(F.col("doc_id").isNull(), F.xxhash64(F.col("text"), F.spark_partition_id()))
+    start = F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("size"), anonymous)
     sized = (
         documents.withColumn("size", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long"))
         .withColumn("_src", F.when(F.col("source").isNull(), "").otherwise(F.concat(F.lit("="), "source")))

@@ -3,6 +3,7 @@ import re
 from collections import defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from factsheet.llm import mixing, queries
 
@@ -90,3 +91,15 @@ def test_no_rows(spark):
 def test_plan_is_native(spark):
     plan = queries.QUERIES["op8_mixing"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Cartesian" not in plan and "NestedLoop" not in plan
+
+
+def test_rows_without_id_are_spread(spark):
+    rows = [(None, "a b c", "s")] * 1500 + [(None, f"w{i} x y", "s") for i in range(1500)] + [(i, "a b c", "s") for i in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(24)
+    mixed = mixing.mix(df, shards=16, seed=7)
+    # a window's shard shows in the plan's first exchange of rows: count them by the same hash
+    anonymous = F.when(F.col("doc_id").isNull(), F.xxhash64(F.col("text"), F.spark_partition_id()))
+    shard = F.pmod(F.xxhash64(F.lit(7), F.col("doc_id"), F.lit(3).cast("long"), anonymous), F.lit(16))
+    sizes = df.groupBy(shard.alias("shard")).count().toPandas()["count"]
+    assert len(sizes) == 16 and sizes.max() < 2 * sizes.mean()
+    assert mixed.agg(F.sum("taken")).first()[0] == pytest.approx(3 * 6000, rel=0.02) and mixed.count() == 6000
