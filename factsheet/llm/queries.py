@@ -107,9 +107,9 @@ ORACLES: dict[str, str] = {
             JOIN (SELECT doc_id, max(quality) = 0 AS bad FROM labels WHERE quality IS NOT NULL GROUP BY doc_id) l
               ON l.doc_id = TRY_CAST(regexp_extract(p.path, '([0-9]+)', 1) AS BIGINT)
         ), hosts AS (
-            SELECT host, coalesce(n, 0) AS n, coalesce(k, 0) AS k, list_extract(string_split(host, '.'), -1) AS suffix,
-                array_to_string(string_split(host, '.')[-2:], '.') AS domain
-            FROM (SELECT DISTINCT host FROM parts) LEFT JOIN (SELECT host, count(*) AS n, sum(CAST(bad AS INT)) AS k FROM rated GROUP BY host) USING (host)
+            SELECT host, coalesce(n, 0) AS n, coalesce(k, 0) AS k, CASE WHEN regexp_matches(name, 'ADDRESS') THEN '[ip]' ELSE regexp_extract(name, 'IN_SUFFIX', 1) END AS suffix,
+                CASE WHEN regexp_matches(name, 'ADDRESS') THEN name ELSE regexp_extract(name, 'IN_DOMAIN', 1) END AS domain
+            FROM (SELECT DISTINCT host, regexp_replace(regexp_replace(host, '^.*@', ''), '\\.*(?::[0-9]*)?$', '') AS name FROM parts) LEFT JOIN (SELECT host, count(*) AS n, sum(CAST(bad AS INT)) AS k FROM rated GROUP BY host) USING (host)
         ), domains AS (
             SELECT domain, suffix, sum(n) AS n, sum(k) AS k FROM hosts GROUP BY ALL
         ), suffixes AS (
@@ -150,3 +150,5 @@ ORACLES: dict[str, str] = {
         SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
     """,
 }
+for _name in ("ADDRESS", "IN_SUFFIX", "IN_DOMAIN"):
+    ORACLES["op4_url_filter"] = ORACLES["op4_url_filter"].replace(f"'{_name}'", f"'{getattr(url_filter, _name)}'")

@@ -11,12 +11,32 @@ from factsheet.llm.common import LOWER, UPPER, checkpointed, spread_join
 #: Rules of the query: fixed values.
 RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
 
+#: Labels under which country suffixes give out names, as ``co.uk`` does: fixed values.
+REGISTRIES = "ac co com edu gob gov go gouv mil ne net nom or org sch".split()
+#: A suffix: a registry of a country, else the last label. After a boundary, so that ``xco.uk`` is a name under ``uk``.
+SUFFIX = rf"(?:(?:{'|'.join(REGISTRIES)})\.[a-z][a-z]|[^.]+)$"
+IN_SUFFIX, IN_DOMAIN = rf"(?:^|\.)({SUFFIX})", rf"(?:^|\.)((?:[^.]+\.)?{SUFFIX})"
+ADDRESS = r"^(?:[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+|\[.*\])$"
+
 
 def host_of(url: Column) -> Column:
     """From the first ``://`` to ``/``, ``?``, ``#`` or the end, A-Z lower-cased; empty for null or without ``://``."""
     return F.coalesce(F.translate(F.regexp_extract(url, r"(?s)^.*?://([^/?#]*)", 1), UPPER, LOWER), F.lit(""))
 
 
+def bare(host: Column) -> Column:
+    """A host without user, port and dots at its end."""
+    return F.regexp_replace(F.regexp_replace(host, r"^.*@", ""), r"\.*(?::[0-9]*)?$", "")
+
+
+def levels(host: Column) -> tuple[Column, Column]:
+    """Registered domain and public suffix. An address is a domain of its own, and all addresses have one suffix, ``[ip]``."""
+    name = bare(host)
+    address = name.rlike(ADDRESS)
+    domain, suffix = F.regexp_extract(name, IN_DOMAIN, 1), F.regexp_extract(name, IN_SUFFIX, 1)
+    return F.when(address, name).otherwise(domain), F.when(address, "[ip]").otherwise(suffix)
+
+
 def path_of(url: Column) -> Column:
     """What follows the host up to ``?``, ``#`` or the end."""
     return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^?#]*)", 1), F.lit(""))
@@ -41,17 +61,17 @@ def reputation(outcomes: DataFrame, hosts: DataFrame, z: float) -> DataFrame:
 
     ``outcomes`` has ``host`` and ``bad`` (true or false), a row for each labelled page. Each level's rate is a
     beta-binomial posterior whose prior has the mean of the level above: all pages (as if ten more were labelled,
-    one of them bad), suffix (last label of the host), registered domain (last two), host. A level's prior strength comes from the spread of its units by
+    one of them bad), public suffix, registered domain, host (see ``levels``). A level's prior strength comes from the spread of its units by
     moments: rho = (sum (k - n m)^2 - sum n m (1 - m)) / sum n (n - 1) m (1 - m), strength 1 / rho - 1, with
     rho held between 0.001 and 0.5, and 0.1 where no unit has two labelled pages. The bound is the posterior mean less ``z`` standard deviations. A host
     without labelled pages has its domain's rate with no more than the prior's weight.
     """
-    labels = F.split("host", r"\.")
+    domain, suffix = levels(F.col("host"))
     counted = outcomes.groupBy("host").agg(F.count("bad").alias("n"), F.sum(F.col("bad").cast("long")).alias("k"))
     units = checkpointed(
         hosts.join(counted, "host", "left").na.fill(0, ["n", "k"])
-        .withColumn("domain", F.array_join(F.slice(labels, F.greatest(F.size(labels) - 1, F.lit(1)), 2), "."))
-        .withColumn("suffix", F.element_at(labels, -1))
+        .withColumn("domain", domain)
+        .withColumn("suffix", suffix)
     )
     domains = checkpointed(units.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k")))
     suffixes = checkpointed(domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k")))
@@ -77,7 +97,7 @@ def judge(pages: DataFrame, outcomes: DataFrame, *, rules: Sequence[tuple[str, s
     ``outcomes`` has ``page_id`` and ``bad`` for the labelled pages, at most a row each; a null is no label.
     The longest fitting rule decides. Else a host is blocked if its share of bad pages is above ``worst`` with
     the certainty that ``z`` asks for. Pages without a host are judged as hosts named by the empty text.
-    Repeated pages are judged alike. Pages of one host may be any share of the table: they are counted before
+    Repeated pages are judged alike; an empty table gives an empty one. Pages of one host may be any share of the table: they are counted before
     the shuffle, and looked up over many tasks.
     """
     parts = pages.withColumn("host", host_of(F.col("url"))).withColumn("path", path_of(F.col("url")))
