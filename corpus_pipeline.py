@@ -2,6 +2,10 @@
 
 Each stage takes ``(spark, docs, sf_dir)`` and works on all that the one before it kept; ``run`` writes each
 stage's rows as Parquet to the folder that all executors share and reads them again for the next.
+
+Null and empty texts fail the plain rules and go in the first stage; given to a later one alone, they are scored by
+length, are copies of each other, are not taken by the mix, or have no ids. A row without ``doc_id`` is judged like others and
+teaches nothing. Repeated rows are judged each and leave one. Long texts are read whole. An empty table stays empty.
 """
 
 from __future__ import annotations
