@@ -43,30 +43,86 @@ def unpack_words(data: bytes) -> list[bytes]:
 
 @dataclass
 class EliasFano:
-    """A sequence that never falls: low bits side by side, high parts as gaps in unary."""
+    """A sequence that never falls: low bits side by side, high parts as gaps in unary. Searched as it is, without decoding."""
 
     n: int
     low_bits: int
-    low: np.ndarray
-    high: np.ndarray
+    bits: int  # of the unary part
+    low: np.ndarray  # bytes, with eight more so that any value can be read as part of eight bytes
+    gaps: np.ndarray  # the unary part in words of 64 bits
+    ones: np.ndarray  # set bits before each of these words
 
     @staticmethod
     def encode(values: np.ndarray) -> EliasFano:
         n = len(values)
         last = int(values[-1]) if n else 0
         width = max(0, (last // max(n, 1)).bit_length() - 1)
-        low = (values[:, None] >> np.arange(width)) & 1 if width else np.zeros((n, 0), np.int64)
-        unary = np.zeros((last >> width) + n + 1, np.uint8)
+        low = np.empty((n, width), np.uint8)
+        for b in range(width):
+            low[:, b] = (values >> b) & 1
+        bits = (last >> width) + n + 1
+        unary = np.zeros(-(-bits // 64) * 64, np.uint8)
         unary[(values >> width) + np.arange(n)] = 1
-        return EliasFano(n, width, np.packbits(low.astype(np.uint8).ravel()), np.packbits(unary))
+        gaps = np.packbits(unary, bitorder="little").view("<u8")
+        ones = np.concatenate([[0], np.cumsum(np.bitwise_count(gaps), dtype=np.int64)[:-1]])
+        return EliasFano(n, width, bits, np.concatenate([np.packbits(low.ravel(), bitorder="little"), np.zeros(8, np.uint8)]), gaps, ones.astype("<u4"))
+
+    @property
+    def high(self) -> np.ndarray:
+        return self.gaps.view(np.uint8)[: -(-self.bits // 8)]
 
     def decode(self) -> np.ndarray:
-        high = np.flatnonzero(np.unpackbits(self.high))[: self.n] - np.arange(self.n)
-        bits = np.unpackbits(self.low)[: self.n * self.low_bits].reshape(self.n, self.low_bits)
-        out = high << self.low_bits
-        for b in range(self.low_bits):
-            out |= bits[:, b].astype(np.int64) << b
-        return out
+        return self.get(np.arange(self.n))
+
+    def get(self, i: np.ndarray) -> np.ndarray:
+        """The values at these places."""
+        return ((_select(self.gaps, self.ones, i) - i) << self.low_bits) | self._low(i)
+
+    def seek(self, x: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each ``x`` its place from ``begin`` to before ``end``, and whether it is there.
+
+        The unary part gives the places of the values with the high part of ``x``; of those the low bits are halved.
+        """
+        high = x >> self.low_bits
+        inside = (high >= 0) & (high < self.bits - self.n)
+        h = np.where(inside, high, 0)
+        zeros = 64 * np.arange(len(self.gaps)) - self.ones
+        stop = _select(~self.gaps, zeros, h) - h
+        start = np.where(h > 0, _select(~self.gaps, zeros, np.maximum(h - 1, 0)) - h + 1, 0)
+        at, stop = np.maximum(start, begin), np.where(inside, np.minimum(stop, end), 0)
+        above, sought = stop, x & ((1 << self.low_bits) - 1)
+        while len(live := np.flatnonzero(at < above)):
+            middle = (at[live] + above[live]) >> 1
+            less = self._low(middle) < sought[live]
+            if len(live) == len(at):
+                at, above = np.where(less, middle + 1, at), np.where(less, above, middle)
+            else:
+                above = above.copy()
+                at[live], above[live] = np.where(less, middle + 1, at[live]), np.where(less, above[live], middle)
+        there = np.flatnonzero(at < stop)
+        found = np.zeros(len(x), bool)
+        found[there] = self._low(at[there]) == sought[there]
+        return at, found
+
+    def _low(self, i: np.ndarray) -> np.ndarray:
+        if not self.low_bits:
+            return np.zeros(len(i), np.int64)
+        at = i * self.low_bits
+        eight = np.ndarray(len(self.low) - 7, "<u8", self.low, strides=(1,))  # eight bytes from each byte on
+        return ((eight[at >> 3] >> (at & 7).astype(np.uint64)) & np.uint64((1 << self.low_bits) - 1)).astype(np.int64)
+
+
+def _select(words: np.ndarray, before: np.ndarray, k: np.ndarray) -> np.ndarray:
+    """Where the set bits numbered ``k`` from 0 are, given how many lie before each word."""
+    at = np.searchsorted(before, k, side="right") - 1
+    left, word, place = (k - before[at]).astype(np.int64), words[at], at * 64
+    for step in (32, 16, 8, 4, 2, 1):
+        here = np.bitwise_count(word & np.uint64((1 << step) - 1)).astype(np.int64)
+        on = left >= here
+        left -= here * on
+        place += step * on
+        word = word >> (on * step).astype(np.uint64)
+    return place
 
 
 #: Steps of the codes of log10 probabilities: 1 is 10 to the power -FLOOR, 65535 is 1; 0 is no entry.
@@ -82,50 +138,62 @@ def dequantize(code: np.ndarray) -> np.ndarray:
 
 
 class Trie:
-    """Two levels of one shard, memory-mapped: contexts with pointers, and their successors with probabilities.
+    """N-grams of one shard in memory-mapped levels: the words of each depth, pointers to their successors, quantised probabilities.
 
-    A context's successors are kept relative to it: each is written as its id plus the last written value of the
-    context before, so the whole level never falls and is one Elias-Fano sequence.
+    A node's successors are kept relative to it: each is written as its id plus the last written value of the
+    node before, so a level never falls and is one Elias-Fano sequence, as are the pointers and what was added.
     """
 
-    def __init__(self, context: np.ndarray, word: np.ndarray, p: np.ndarray) -> None:
-        """Distinct entries, ordered by context and word."""
-        first = np.flatnonzero(np.concatenate([[True], context[1:] != context[:-1]])) if len(context) else np.zeros(0, np.int64)
-        last = word[np.concatenate([first[1:], [len(word)]]) - 1] if len(first) else first
-        base = np.concatenate([[0], np.cumsum(last)[:-1]]) if len(first) else first
-        sizes = np.diff(np.concatenate([first, [len(word)]])) if len(first) else first
-        levels = [EliasFano.encode(x) for x in (context[first], np.concatenate([first, [len(word)]]), word + np.repeat(base, sizes), np.concatenate([base, last[-1:] + base[-1:]]))]
-        parts = [x.tobytes() for e in levels for x in (e.low, e.high)] + [quantize(p).astype("<u2").tobytes()]
+    def __init__(self, *levels: np.ndarray) -> None:
+        """The words of distinct n-grams by depth, in order, and then their probabilities."""
+        *keys, p = levels
+        n = len(p)
+        coded: list[EliasFano] = []
+        above, new = np.zeros(min(n, 1), np.int64), np.zeros(n, bool)  # first n-gram of each node above, and which n-grams begin a node
+        new[:1] = True
+        for k in keys:
+            new = new | np.concatenate([new[:1], k[1:] != k[:-1]])
+            nodes = np.flatnonzero(new)
+            first = np.searchsorted(nodes, above)
+            ends = np.concatenate([first[1:], [len(nodes)]])[: len(first)]
+            base = np.concatenate([[0], np.cumsum(k[nodes][ends - 1])[:-1]])[: len(first)]
+            coded += [EliasFano.encode(x) for x in (np.concatenate([first, ends[-1:]]), base, k[nodes] + np.repeat(base, ends - first))]
+            above = nodes
+        parts = [quantize(p).astype("<u2").tobytes(), *(x.tobytes() for e in coded for x in (e.low, e.gaps, e.ones))]
+        starts = np.cumsum([0, *(-(-len(x) // 8) * 8 for x in parts)])
         with tempfile.TemporaryFile() as f:  # has no name, so it goes with its last mapping
-            f.write(b"".join(parts) + b"\0")
+            f.write(b"".join(x.ljust(-(-len(x) // 8) * 8, b"\0") for x in parts) + b"\0")
             f.flush()
             self._map = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)
-        ends = np.cumsum([len(x) for x in parts])
-        views = [np.frombuffer(self._map, np.uint8, len(x), e - len(x)) for x, e in zip(parts, ends)]
-        self.levels = [EliasFano(e.n, e.low_bits, views[2 * i], views[2 * i + 1]) for i, e in enumerate(levels)]
-        self.codes = np.frombuffer(self._map, "<u2", len(p), int(ends[-1]) - 2 * len(p))
+        view = lambda i, kind: np.frombuffer(self._map, kind, len(parts[i]) // np.dtype(kind).itemsize, int(starts[i]))
+        self.codes = view(0, "<u2")
+        self.levels = [EliasFano(e.n, e.low_bits, e.bits, view(3 * i + 1, "u1"), view(3 * i + 2, "<u8"), view(3 * i + 3, "<u4")) for i, e in enumerate(coded)]
 
-    def find(self, context: np.ndarray, word: np.ndarray) -> np.ndarray:
-        """Codes of the entries, 0 for those that are not there: the successor of each word from its context's base on."""
-        contexts, pointers, successors, base = (x.decode() for x in self.levels)
-        if not len(contexts):
-            return np.zeros(len(context), np.uint16)
-        c = np.minimum(np.searchsorted(contexts, context), len(contexts) - 1)
-        sought = word + base[c]
-        at = np.searchsorted(successors, sought)
-        at = np.maximum(at, pointers[c])  # the value before may be the last of the context before
-        there = np.minimum(at, len(successors) - 1)
-        hit = (contexts[c] == context) & (at < pointers[c + 1]) & (successors[there] == sought)
-        return np.where(hit, self.codes[there], 0).astype(np.uint16)
+    def places(self, *keys: np.ndarray) -> np.ndarray:
+        """Numbers of the n-grams, -1 for those that are not there: word after word, among its context's successors alone."""
+        at, there = np.zeros(len(keys[0]), np.int64), np.full(len(keys[0]), len(self.codes) > 0)
+        for i, k in enumerate(keys):
+            live = np.flatnonzero(there)
+            pointers, base, words = self.levels[3 * i : 3 * i + 3]
+            up = at[live]
+            at[live], there[live] = words.seek(k[live] + base.get(up), pointers.get(up), pointers.get(up + 1))
+        return np.where(there, at, -1)
 
+    def find(self, *keys: np.ndarray) -> np.ndarray:
+        """Codes of the n-grams, 0 for those that are not there."""
+        return np.append(self.codes, np.uint16(0))[self.places(*keys)]
 
-def shard_of(context: np.ndarray, word: np.ndarray, shards: int) -> np.ndarray:
-    """By context and word, so that a context with a third of all tokens is spread like any other."""
-    mixed = context.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ word.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
-    return ((mixed >> np.uint64(29)) % np.uint64(shards)).astype(np.int64)
 
+def shard_of(keys: list[np.ndarray], shards: int) -> np.ndarray:
+    """By all words, so that a context with a third of all tokens is spread like any other."""
+    mixed = np.zeros(len(keys[0]), np.uint64)
+    for k in keys:
+        mixed = (mixed ^ k.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+        mixed ^= mixed >> np.uint64(29)
+    return (mixed % np.uint64(shards)).astype(np.int64)
 
-BIN = "bin string, doc_ids array<long>, held array<boolean>, lengths binary, tokens binary, vocabulary binary, counts binary, n long"
+
+BIN = "bin string, doc_ids array<long>, held binary, texts long, lengths binary, tokens binary, vocabulary binary, counts binary, n long"
 
 
 def binned(documents: DataFrame, most: int) -> DataFrame:
@@ -150,7 +218,8 @@ def binned(documents: DataFrame, most: int) -> DataFrame:
                 {
                     "bin": [uuid.uuid4().hex],
                     "doc_ids": [[d[0] for d in docs]],
-                    "held": [[d[1] for d in docs]],
+                    "held": [pack(np.array([d[1] for d in docs], np.int64))],
+                    "texts": [sum(not d[1] for d in docs)],
                     "lengths": [pack(lengths)],
                     "tokens": [pack(place[tokens])],
                     "vocabulary": [pack_words([names[i] for i in order])],
@@ -177,7 +246,10 @@ def binned(documents: DataFrame, most: int) -> DataFrame:
 
 
 def word_counts(bins: DataFrame, shards: int) -> DataFrame:
-    """For each bin and shard of words, ids and counts of the bin's words there; a word's id and count are everywhere the same."""
+    """For each bin and shard of words, ids and counts of the bin's words there; a word's id and count are everywhere the same.
+
+    A count is written twice over, and one more where no other bin has the word.
+    """
 
     def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -193,9 +265,12 @@ def word_counts(bins: DataFrame, shards: int) -> DataFrame:
         number: dict[bytes, int] = {}
         local = [np.fromiter((number.setdefault(w, len(number)) for w in unpack_words(x)), np.int64) for x in pdf["names"]]
         total = np.zeros(len(number), np.int64)
+        bins_with = np.zeros(len(number), np.int64)
         for at, x in zip(local, pdf["counts"]):
             total[at] += unpack(x)
-        out = pd.DataFrame({"bin": pdf["bin"], "kind": 0, "shard": shard, "places": pdf["places"], "a": [pack(at * shards + shard + 1) for at in local], "b": [pack(total[at]) for at in local], "known": 0, "learnt": 0})
+            bins_with[at] += 1
+        told = total * 2 + (bins_with == 1)
+        out = pd.DataFrame({"bin": pdf["bin"], "kind": 0, "shard": shard, "places": pdf["places"], "a": [pack(at * shards + shard + 1) for at in local], "b": [pack(told[at]) for at in local], "known": 0, "learnt": 0})
         out.loc[out.index[0], ["known", "learnt"]] = [int((total > 0).sum()), int(total.sum())]
         return out
 
@@ -203,52 +278,98 @@ def word_counts(bins: DataFrame, shards: int) -> DataFrame:
     return packets.groupBy("shard").applyInPandas(count, "bin string, kind int, shard int, places binary, a binary, b binary, known long, learnt long")
 
 
+@dataclass
+class Grams:
+    """The distinct n-grams of a bin: their words, how often learning texts have them here, and how often everywhere."""
+
+    keys: list[np.ndarray]
+    own: np.ndarray
+    seen: np.ndarray  # how often learning texts have the context
+    of: np.ndarray  # of each token, its place among the n-grams
+    order: np.ndarray  # those to be asked about, by shard and words
+    cuts: np.ndarray
+
+    @staticmethod
+    def of_bin(keys: list[np.ndarray], own: np.ndarray, seen: np.ndarray, of: np.ndarray, alone: np.ndarray, shards: int) -> Grams:
+        """``alone``: n-grams whose context or end occurs in no other bin, so that their count here is their count everywhere."""
+        asked = np.flatnonzero(~alone)
+        asked_keys = [k[asked] for k in keys]
+        shard = shard_of(asked_keys, shards)
+        order = np.lexsort((*reversed(asked_keys), shard))
+        return Grams(keys, own, seen, of, asked[order], np.searchsorted(shard[order], np.arange(shards + 1)))
+
+    def questions(self, bin_: str) -> Iterator[tuple]:
+        for s in np.flatnonzero(np.diff(self.cuts)):
+            o = self.order[self.cuts[s] : self.cuts[s + 1]]
+            first, *rest = (k[o] for k in self.keys)
+            yield int(s), bin_, [pack(np.diff(first, prepend=0)), *(pack(k) for k in rest)], pack(self.own[o]), pack(self.seen[o])
+
+    def answered(self, answers: pd.DataFrame, prior: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Probabilities as the trie has them, counts everywhere, and whether no other bin has the n-gram."""
+        codes, told = np.where(self.own > 0, quantize(self.own / (self.seen + prior)), 0).astype(np.int64), self.own * 2 + 1
+        for y in answers.itertuples(index=False):
+            at = self.order[self.cuts[y.shard] : self.cuts[y.shard + 1]]
+            codes[at], told[at] = unpack(y.a), unpack(y.b)
+        return dequantize(codes), told >> 1, (told & 1) == 1
+
+
 @dataclass
 class Coded:
     """A bin with what the words' shards say: ids and counts by word number, and its distinct pairs of tokens."""
 
     lengths: np.ndarray
+    begins: np.ndarray
+    taught: np.ndarray  # whether the token is in a learning text
     tokens: np.ndarray
-    ids: np.ndarray
     counts: np.ndarray
-    context: np.ndarray  # of each distinct pair, as ids
-    word: np.ndarray
-    learnt: np.ndarray  # how often learning texts have the pair
-    seen: np.ndarray  # how often they have its context
-    pair: np.ndarray  # of each token, its place among the pairs
-    order: np.ndarray  # pairs by shard, context and word
-    cuts: np.ndarray
+    word: np.ndarray  # number of each pair's second word
+    pairs: Grams
 
     @staticmethod
-    def of(row, answers: pd.DataFrame, texts: int, shards: int) -> Coded:
-        lengths, tokens = unpack(row.lengths), unpack(row.tokens)
+    def read(row, answers: pd.DataFrame, texts: int, shards: int) -> Coded:
+        lengths, tokens, held = unpack(row.a), unpack(row.b), unpack(row.places)
         size = int(tokens.max()) + 1
-        ids, counts = np.zeros(size + 1, np.int64), np.zeros(size + 1, np.int64)
+        ids, told = np.zeros(size + 1, np.int64), np.zeros(size + 1, np.int64)
         for x in answers.itertuples(index=False):
             at = unpack(x.places)
-            ids[at], counts[at] = unpack(x.a), unpack(x.b)
-        ids[size], counts[size] = START, texts
+            ids[at], told[at] = unpack(x.a), unpack(x.b)
+        ids[size], told[size] = START, texts * 2 + (shards == 1)
+        counts, here = told >> 1, (told & 1) == 1
+        begins = np.cumsum(lengths) - lengths
         before = np.concatenate([[size], tokens[:-1]])
-        before[np.cumsum(lengths)[:-1]] = size
+        before[begins] = size
         key, pair = np.unique(before * (size + 1) + tokens, return_inverse=True)
-        taught = np.repeat(~np.array(row.held, bool), lengths)
+        taught = np.repeat(held == 0, lengths)
         c, w = key // (size + 1), key % (size + 1)
-        of = shard_of(ids[c], ids[w], shards)
-        order = np.lexsort((ids[w], ids[c], of))
-        cuts = np.searchsorted(of[order], np.arange(shards + 1))
-        return Coded(lengths, tokens, ids, counts, ids[c], ids[w], np.bincount(pair[taught], minlength=len(key)), counts[c], pair, order, cuts)
+        pairs = Grams.of_bin([ids[c], ids[w]], np.bincount(pair[taught], minlength=len(key)), counts[c], pair, here[c] | here[w], shards)
+        return Coded(lengths, begins, taught, tokens, counts, w, pairs)
+
+    def triples(self, everywhere: np.ndarray, here: np.ndarray, shards: int) -> tuple[Grams, np.ndarray, np.ndarray]:
+        """The distinct triples of tokens, whose contexts are pairs; the tokens that end one; and each triple's pair at its end."""
+        inner = np.ones(len(self.tokens), bool)
+        inner[self.begins] = False
+        ends = np.flatnonzero(inner)
+        of, size = self.pairs.of, len(everywhere)
+        key, triple = np.unique(of[ends - 1] * size + of[ends], return_inverse=True)
+        a, b = key // size, key % size
+        (u, v), (_, w) = ([k[x] for k in self.pairs.keys] for x in (a, b))
+        own = np.bincount(triple[self.taught[ends]], minlength=len(key))
+        return Grams.of_bin([u, v, w], own, everywhere[a], triple, here[a] | here[b], shards), ends, b
 
 
 def scored(documents: DataFrame, *, prior: float = 8.0, tokens_a_bin: int = 2_000_000) -> DataFrame:
     """``doc_id``, ``held_out``, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score`` and ``score`` of every document.
 
-    The model is a trie of word pairs, learnt from every text that is not held out. With c counts in those texts,
-    p(w | v) = (c(v w) + prior p(w)) / (c(v) + prior), p(w) = (c(w) + 1) / (N + V + 1). The part of a pair that was
-    seen is quantised in the trie; the rest comes from the counts of v and w.
+    The model has three levels, learnt from every text that is not held out. With c counts in those texts, V distinct
+    and N all tokens, p(w) = (c(w) + 1) / (N + V + 1), p(w | v) = (c(v w) + prior p(w)) / (c(v) + prior), and
+    p(w | u v) = (c(u v w) + prior p(w | v)) / (c(u v) + prior); a text's first token has p(w | start) alone. The
+    part of a pair or triple that was seen is quantised in a trie; the rest comes from the shorter context.
 
     Texts are read once and kept as bins of word numbers. A bin asks the shards of words for its distinct words,
-    then those of pairs for its distinct pairs, so a frequent word or pair is one entry a bin wherever it goes, and
-    a shard holds about as much as a bin: there are as many as bins. Pairs go to shards by both words.
+    those of pairs for its distinct pairs and those of triples for its distinct triples, so a frequent one is one
+    entry a bin wherever it goes, and a shard holds about as much as a bin: there are as many as bins. N-grams go
+    to shards by all their words. One whose context or end is in no other bin, held-out texts
+    included, is counted in its bin.
 
     A null or empty text is its end alone; repeated rows are texts of their own; a row without ``doc_id`` is not
     held out. Without texts there are no rows.
@@ -257,63 +378,75 @@ def scored(documents: DataFrame, *, prior: float = 8.0, tokens_a_bin: int = 2_00
     shards = max(1, bins.count())
     counted = checkpointed(word_counts(bins, shards))
     known, learnt = (x or 0 for x in counted.agg(F.sum("known"), F.sum("learnt")).first())
-    texts = bins.agg(F.sum(F.size(F.filter("held", lambda h: ~h)))).first()[0] or 0
+    texts = bins.agg(F.sum("texts")).first()[0] or 0
     whole = learnt + known + 1
-    ANSWER = "bin string, kind int, shard int, places binary, a binary, b binary"
-    words_ = counted.select("bin", "kind", "shard", "places", "a", "b")
-
-    def ask(bin_: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for row in bin_.itertuples(index=False):
-            x = Coded.of(row, answers, texts, shards)
-            for s in np.flatnonzero(np.diff(x.cuts)):
-                o = x.order[x.cuts[s] : x.cuts[s + 1]]
-                out.append((int(s), row.bin, pack(np.diff(x.context[o], prepend=0)), pack(x.word[o]), pack(x.learnt[o]), pack(x.seen[o])))
-        return pd.DataFrame(out, columns=["shard", "bin", "context", "word", "learnt", "seen"])
-
-    def answer(pdf: pd.DataFrame) -> pd.DataFrame:
-        asked = [(np.cumsum(unpack(c)), unpack(w)) for c, w in zip(pdf["context"], pdf["word"])]
-        context, word = (np.concatenate(x) for x in zip(*asked))
-        learnt, seen = (np.concatenate([unpack(x) for x in pdf[k]]) for k in ("learnt", "seen"))
-        taught = np.flatnonzero(learnt > 0)
-        taught = taught[np.lexsort((word[taught], context[taught]))]
-        c, w = context[taught], word[taught]
-        first = np.flatnonzero(np.concatenate([[True], (c[1:] != c[:-1]) | (w[1:] != w[:-1])])) if len(taught) else taught
-        count = np.add.reduceat(learnt[taught], first) if len(first) else first
-        trie = Trie(c[first], w[first], count / (seen[taught][first] + prior))
-        codes = trie.find(context, word)
-        ends = np.cumsum([len(x) for x, _ in asked])
-        return pd.DataFrame({"bin": pdf["bin"], "kind": 1, "shard": pdf["shard"], "places": b"", "a": [pack(x) for x in np.split(codes, ends[:-1])], "b": b""})
-
-    def score(bin_: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for row in bin_.itertuples(index=False):
-            x = Coded.of(row, answers[answers["kind"] == 0], texts, shards)
-            codes = np.zeros(len(x.order), np.int64)
-            for y in answers[answers["kind"] == 1].itertuples(index=False):
-                codes[x.order[x.cuts[y.shard] : x.cuts[y.shard + 1]]] = unpack(y.a)
-            alone = (x.counts + 1) / whole
-            seen = x.seen[x.pair]
-            p = dequantize(codes)[x.pair] + prior / (seen + prior) * alone[x.tokens]
-            begins = np.cumsum(x.lengths) - x.lengths
-            out.append(
-                pd.DataFrame(
-                    {
-                        "doc_id": pd.array(list(row.doc_ids), dtype="Int64"),
-                        "held_out": list(row.held),
-                        "n_tokens": x.lengths,
-                        "n_known": np.add.reduceat((x.counts[x.tokens] > 0).astype(np.int64), begins),
-                        "train_tokens": learnt,
-                        "base_score": np.add.reduceat(np.log10(alone)[x.tokens], begins),
-                        "score": np.add.reduceat(np.log10(np.minimum(p, 1.0)), begins),
-                    }
-                )
-            )
-        return pd.concat(out) if out else pd.DataFrame(columns=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
-
-    parts = bins.select("bin", "doc_ids", "held", "lengths", "tokens")
-    asked = parts.groupBy("bin").cogroup(words_.groupBy("bin")).applyInPandas(ask, "shard int, bin string, context binary, word binary, learnt binary, seen binary")
-    answers = asked.groupBy("shard").applyInPandas(answer, ANSWER)
-    return parts.groupBy("bin").cogroup(words_.union(answers).groupBy("bin")).applyInPandas(
+    TEXTS, WORDS, PAIRS, TRIPLES = -1, 0, 1, 2
+    MAIL = "bin string, kind int, shard int, places binary, a binary, b binary, doc_ids array<long>"
+    ASKED = "shard int, bin string, keys array<binary>, learnt binary, seen binary"
+
+    def bin_of(mail: pd.DataFrame) -> tuple:
+        row = next(mail[mail["kind"] == TEXTS].itertuples(index=False))
+        return row, Coded.read(row, mail[mail["kind"] == WORDS], texts, shards)
+
+    def ask_pairs(mail: pd.DataFrame) -> pd.DataFrame:
+        row, x = bin_of(mail)
+        return pd.DataFrame(x.pairs.questions(row.bin), columns=["shard", "bin", "keys", "learnt", "seen"])
+
+    def ask_triples(mail: pd.DataFrame) -> pd.DataFrame:
+        row, x = bin_of(mail)
+        _, everywhere, here = x.pairs.answered(mail[mail["kind"] == PAIRS], prior)
+        return pd.DataFrame(x.triples(everywhere, here, shards)[0].questions(row.bin), columns=["shard", "bin", "keys", "learnt", "seen"])
+
+    def answer(kind: int):
+        def run(pdf: pd.DataFrame) -> pd.DataFrame:
+            asked = [[np.cumsum(unpack(k[0])), *(unpack(x) for x in k[1:])] for k in pdf["keys"]]
+            keys = [np.concatenate(x) for x in zip(*asked)]
+            learnt, seen = (np.concatenate([unpack(x) for x in pdf[k]]) for k in ("learnt", "seen"))
+            order = np.lexsort(keys[::-1])
+            new = np.ones(len(order), bool)
+            new[1:] = np.any([np.diff(k[order]) != 0 for k in keys], axis=0)
+            first = np.flatnonzero(new)  # a bin asks once about an n-gram
+            count, askers = np.add.reduceat(learnt[order], first), np.diff(first, append=len(order))
+            sole = np.zeros(len(order), np.int64)
+            sole[order[first[askers == 1]]] = 1
+            taught = order[first[count > 0]]
+            count = count[count > 0]
+            trie = Trie(*(k[taught] for k in keys), count / (seen[taught] + prior))
+            at = trie.places(*keys)
+            cuts = np.cumsum([len(x[0]) for x in asked])[:-1]
+            codes, told = (np.split(x, cuts) for x in (np.append(trie.codes, 0)[at], np.append(count, 0)[at] * 2 + sole))
+            return pd.DataFrame({"bin": pdf["bin"], "kind": kind, "shard": pdf["shard"], "places": b"", "a": [pack(x) for x in codes], "b": [pack(x) for x in told], "doc_ids": None})
+
+        return run
+
+    def score(mail: pd.DataFrame, last: pd.DataFrame) -> pd.DataFrame:
+        row, x = bin_of(mail)
+        alone = (x.counts + 1) / whole
+        found, everywhere, here = x.pairs.answered(mail[mail["kind"] == PAIRS], prior)
+        two = found + prior / (x.pairs.seen + prior) * alone[x.word]
+        triples, ends, pair = x.triples(everywhere, here, shards)
+        found, *_ = triples.answered(last, prior)
+        three = found + prior / (triples.seen + prior) * two[pair]
+        p = two[x.pairs.of]
+        p[ends] = three[triples.of]
+        return pd.DataFrame(
+            {
+                "doc_id": pd.array(list(row.doc_ids), dtype="Int64"),
+                "held_out": unpack(row.places) == 1,
+                "n_tokens": x.lengths,
+                "n_known": np.add.reduceat((x.counts[x.tokens] > 0).astype(np.int64), x.begins),
+                "train_tokens": learnt,
+                "base_score": np.add.reduceat(np.log10(alone)[x.tokens], x.begins),
+                "score": np.add.reduceat(np.log10(np.minimum(p, 1.0)), x.begins),
+            }
+        )
+
+    parts = bins.select("bin", F.lit(TEXTS).alias("kind"), F.lit(0).alias("shard"), F.col("held").alias("places"), F.col("lengths").alias("a"), F.col("tokens").alias("b"), "doc_ids")
+    words_ = counted.select("bin", "kind", "shard", "places", "a", "b", F.lit(None).cast("array<bigint>").alias("doc_ids"))
+    first = parts.union(words_)
+    pairs = first.groupBy("bin").applyInPandas(ask_pairs, ASKED).groupBy("shard").applyInPandas(answer(PAIRS), MAIL)
+    second = first.union(pairs)  # its shuffle by bin serves the triples and the scores
+    triples = second.groupBy("bin").applyInPandas(ask_triples, ASKED).groupBy("shard").applyInPandas(answer(TRIPLES), MAIL)
+    return second.groupBy("bin").cogroup(triples.groupBy("bin")).applyInPandas(
         score, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     )

@@ -19,12 +19,13 @@ def tokens(text):
 
 def plain(rows, prior):
     out = lambda i: i is not None and zlib.crc32(str(i).encode()) % 7 == 2
-    one, two = Counter(), Counter()
+    one, two, three = Counter(), Counter(), Counter()
     for i, t in rows:
         if not out(i):
             w = tokens(t)
             one.update(w)
             two.update(zip(["<start>", *w], w))
+            three.update(zip(["<start>", *w], w, w[1:]))
     total, texts = sum(one.values()), sum(not out(i) for i, _ in rows)
     alone = lambda w: (one[w] + 1) / (total + len(one) + 1)
     result = []
@@ -32,7 +33,9 @@ def plain(rows, prior):
         w = tokens(t)
         before = ["<start>", *w]
         seen = lambda v: texts if v == "<start>" else one[v]
-        score = sum(math.log10((two[v, x] + prior * alone(x)) / (seen(v) + prior)) for v, x in zip(before, w))
+        p2 = lambda v, x: (two[v, x] + prior * alone(x)) / (seen(v) + prior)
+        p3 = lambda u, v, x: (three[u, v, x] + prior * p2(v, x)) / (two[u, v] + prior)
+        score = math.log10(p2("<start>", w[0])) + sum(math.log10(p3(*x)) for x in zip(before, w, w[1:]))
         result.append((i, out(i), len(w), sum(one[x] > 0 for x in w), total, sum(math.log10(alone(x)) for x in w), score))
     return result
 
@@ -84,3 +87,27 @@ def test_trie_finds_what_is_there(entries, sought):
 @given(st.lists(st.integers(-(2**62), 2**62)))
 def test_packing(values):
     assert nt.unpack(nt.pack(np.array(values, np.int64))).tolist() == values
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.integers(0, 400) | st.integers(0, 2**40), max_size=150).map(sorted), st.lists(st.integers(0, 2**41), max_size=20), st.data())
+def test_elias_fano_is_searched_in_place(values, other, data):
+    coded = nt.EliasFano.encode(np.array(values, np.int64))
+    begin = data.draw(st.integers(0, len(values)))
+    end = data.draw(st.integers(begin, len(values)))
+    sought = np.array(values + other, np.int64)
+    at, found = coded.seek(sought, np.full(len(sought), begin), np.full(len(sought), end))
+    for x, i, f in zip(sought.tolist(), at.tolist(), found.tolist()):
+        assert f == (x in values[begin:end])
+        assert not f or i == values.index(x, begin)
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.dictionaries(st.tuples(st.integers(0, 4), st.integers(1, 6), st.integers(1, 6)), st.floats(1e-6, 1.0), max_size=90), st.lists(st.tuples(st.integers(0, 5), st.integers(1, 7), st.integers(1, 7)), min_size=1, max_size=60))
+def test_three_levels_without_decoding(entries, sought):
+    keys = sorted(entries)
+    trie = nt.Trie(*(np.array([k[i] for k in keys], np.int64) for i in range(3)), np.array([entries[k] for k in keys]))
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(nt.EliasFano, "decode", None)
+        got = nt.dequantize(trie.find(*(np.array([k[i] for k in sought], np.int64) for i in range(3))))
+    assert got == pytest.approx([entries.get(k, 0.0) for k in sought], rel=1e-3)
