@@ -6,7 +6,7 @@ import mmap
 import tempfile
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -171,19 +171,39 @@ class Trie:
 
     def places(self, *keys: np.ndarray) -> np.ndarray:
         """Numbers of the n-grams, -1 for those that are not there: word after word, among its context's successors alone."""
-        at, there = np.zeros(len(keys[0]), np.int64), np.full(len(keys[0]), len(self.codes) > 0)
+        n = len(keys[0])
+        if not n or not len(self.codes):
+            return np.full(n, -1)
+        new = np.zeros(n, bool)  # n-grams that begin alike and stand side by side are sought as one
+        new[0] = True
+        run, above = np.zeros(n, np.int64), np.zeros(1, np.int64)
         for i, k in enumerate(keys):
-            live = np.flatnonzero(there)
             pointers, base, words = self.levels[3 * i : 3 * i + 3]
-            up = at[live]
-            at[live], there[live] = words.seek(k[live] + base.get(up), pointers.get(up), pointers.get(up + 1))
-        return np.where(there, at, -1)
+            there = np.maximum(above, 0)
+            added, begin, end = base.get(there), pointers.get(there), np.where(above < 0, 0, pointers.get(there + 1))
+            new[1:] |= k[1:] != k[:-1]
+            heads = np.flatnonzero(new)
+            up = run[heads]
+            at, found = words.seek(k[heads] + added[up], begin[up], end[up])
+            run, above = np.cumsum(new) - 1, np.where(found, at, -1)
+        return above[run]
 
     def find(self, *keys: np.ndarray) -> np.ndarray:
         """Codes of the n-grams, 0 for those that are not there."""
         return np.append(self.codes, np.uint16(0))[self.places(*keys)]
 
 
+def folded(keys: list[np.ndarray]) -> np.ndarray:
+    """One number for each row of keys, in the order of the rows."""
+    out = keys[0].astype(np.int64)
+    for k in keys[1:]:
+        size = int(k.max(initial=0)) + 1
+        if (int(out.max(initial=0)) + 1) * size >= 1 << 62:
+            out = np.unique(out, return_inverse=True)[1]
+        out = out * size + k
+    return out
+
+
 def shard_of(keys: list[np.ndarray], shards: int) -> np.ndarray:
     """By all words, so that a context with a third of all tokens is spread like any other."""
     mixed = np.zeros(len(keys[0]), np.uint64)
@@ -270,7 +290,9 @@ def word_counts(bins: DataFrame, shards: int) -> DataFrame:
             total[at] += unpack(x)
             bins_with[at] += 1
         told = total * 2 + (bins_with == 1)
-        out = pd.DataFrame({"bin": pdf["bin"], "kind": 0, "shard": shard, "places": pdf["places"], "a": [pack(at * shards + shard + 1) for at in local], "b": [pack(told[at]) for at in local], "known": 0, "learnt": 0})
+        rank = np.empty(len(number), np.int64)
+        rank[np.argsort(-total, kind="stable")] = np.arange(len(number))  # frequent words get small ids
+        out = pd.DataFrame({"bin": pdf["bin"], "kind": 0, "shard": shard, "places": pdf["places"], "a": [pack(rank[at] * shards + shard + 1) for at in local], "b": [pack(told[at]) for at in local], "known": 0, "learnt": 0})
         out.loc[out.index[0], ["known", "learnt"]] = [int((total > 0).sum()), int(total.sum())]
         return out
 
@@ -295,21 +317,21 @@ class Grams:
         asked = np.flatnonzero(~alone)
         asked_keys = [k[asked] for k in keys]
         shard = shard_of(asked_keys, shards)
-        order = np.lexsort((*reversed(asked_keys), shard))
+        order = np.argsort(folded([shard, *asked_keys[:2]]), kind="stable")
         return Grams(keys, own, seen, of, asked[order], np.searchsorted(shard[order], np.arange(shards + 1)))
 
     def questions(self, bin_: str) -> Iterator[tuple]:
         for s in np.flatnonzero(np.diff(self.cuts)):
             o = self.order[self.cuts[s] : self.cuts[s + 1]]
             first, *rest = (k[o] for k in self.keys)
-            yield int(s), bin_, [pack(np.diff(first, prepend=0)), *(pack(k) for k in rest)], pack(self.own[o]), pack(self.seen[o])
+            yield int(s), bin_, [pack(np.diff(first, prepend=0)), *(pack(k) for k in rest)], pack(self.own[o]), pack(np.where(self.own[o] > 0, self.seen[o], 0))
 
-    def answered(self, answers: pd.DataFrame, prior: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def answered(self, answers: Iterable[tuple], prior: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Probabilities as the trie has them, counts everywhere, and whether no other bin has the n-gram."""
         codes, told = np.where(self.own > 0, quantize(self.own / (self.seen + prior)), 0).astype(np.int64), self.own * 2 + 1
-        for y in answers.itertuples(index=False):
-            at = self.order[self.cuts[y.shard] : self.cuts[y.shard + 1]]
-            codes[at], told[at] = unpack(y.a), unpack(y.b)
+        for shard, coded, counts in answers:
+            at = self.order[self.cuts[shard] : self.cuts[shard + 1]]
+            codes[at], told[at] = unpack(coded), unpack(counts)
         return dequantize(codes), told >> 1, (told & 1) == 1
 
 
@@ -326,13 +348,13 @@ class Coded:
     pairs: Grams
 
     @staticmethod
-    def read(row, answers: pd.DataFrame, texts: int, shards: int) -> Coded:
-        lengths, tokens, held = unpack(row.a), unpack(row.b), unpack(row.places)
+    def read(row, texts: int, shards: int) -> Coded:
+        lengths, tokens, held = unpack(row.lengths), unpack(row.tokens), unpack(row.held)
         size = int(tokens.max()) + 1
         ids, told = np.zeros(size + 1, np.int64), np.zeros(size + 1, np.int64)
-        for x in answers.itertuples(index=False):
-            at = unpack(x.places)
-            ids[at], told[at] = unpack(x.a), unpack(x.b)
+        for places, a, b in zip(row.word_places, row.word_ids, row.word_told):
+            at = unpack(places)
+            ids[at], told[at] = unpack(a), unpack(b)
         ids[size], told[size] = START, texts * 2 + (shards == 1)
         counts, here = told >> 1, (told & 1) == 1
         begins = np.cumsum(lengths) - lengths
@@ -380,73 +402,79 @@ def scored(documents: DataFrame, *, prior: float = 8.0, tokens_a_bin: int = 2_00
     known, learnt = (x or 0 for x in counted.agg(F.sum("known"), F.sum("learnt")).first())
     texts = bins.agg(F.sum("texts")).first()[0] or 0
     whole = learnt + known + 1
-    TEXTS, WORDS, PAIRS, TRIPLES = -1, 0, 1, 2
-    MAIL = "bin string, kind int, shard int, places binary, a binary, b binary, doc_ids array<long>"
     ASKED = "shard int, bin string, keys array<binary>, learnt binary, seen binary"
 
-    def bin_of(mail: pd.DataFrame) -> tuple:
-        row = next(mail[mail["kind"] == TEXTS].itertuples(index=False))
-        return row, Coded.read(row, mail[mail["kind"] == WORDS], texts, shards)
-
-    def ask_pairs(mail: pd.DataFrame) -> pd.DataFrame:
-        row, x = bin_of(mail)
-        return pd.DataFrame(x.pairs.questions(row.bin), columns=["shard", "bin", "keys", "learnt", "seen"])
-
-    def ask_triples(mail: pd.DataFrame) -> pd.DataFrame:
-        row, x = bin_of(mail)
-        _, everywhere, here = x.pairs.answered(mail[mail["kind"] == PAIRS], prior)
-        return pd.DataFrame(x.triples(everywhere, here, shards)[0].questions(row.bin), columns=["shard", "bin", "keys", "learnt", "seen"])
-
-    def answer(kind: int):
-        def run(pdf: pd.DataFrame) -> pd.DataFrame:
-            asked = [[np.cumsum(unpack(k[0])), *(unpack(x) for x in k[1:])] for k in pdf["keys"]]
-            keys = [np.concatenate(x) for x in zip(*asked)]
-            learnt, seen = (np.concatenate([unpack(x) for x in pdf[k]]) for k in ("learnt", "seen"))
-            order = np.lexsort(keys[::-1])
-            new = np.ones(len(order), bool)
-            new[1:] = np.any([np.diff(k[order]) != 0 for k in keys], axis=0)
-            first = np.flatnonzero(new)  # a bin asks once about an n-gram
-            count, askers = np.add.reduceat(learnt[order], first), np.diff(first, append=len(order))
-            sole = np.zeros(len(order), np.int64)
-            sole[order[first[askers == 1]]] = 1
-            taught = order[first[count > 0]]
-            count = count[count > 0]
-            trie = Trie(*(k[taught] for k in keys), count / (seen[taught] + prior))
-            at = trie.places(*keys)
-            cuts = np.cumsum([len(x[0]) for x in asked])[:-1]
-            codes, told = (np.split(x, cuts) for x in (np.append(trie.codes, 0)[at], np.append(count, 0)[at] * 2 + sole))
-            return pd.DataFrame({"bin": pdf["bin"], "kind": kind, "shard": pdf["shard"], "places": b"", "a": [pack(x) for x in codes], "b": [pack(x) for x in told], "doc_ids": None})
-
-        return run
-
-    def score(mail: pd.DataFrame, last: pd.DataFrame) -> pd.DataFrame:
-        row, x = bin_of(mail)
-        alone = (x.counts + 1) / whole
-        found, everywhere, here = x.pairs.answered(mail[mail["kind"] == PAIRS], prior)
-        two = found + prior / (x.pairs.seen + prior) * alone[x.word]
-        triples, ends, pair = x.triples(everywhere, here, shards)
-        found, *_ = triples.answered(last, prior)
-        three = found + prior / (triples.seen + prior) * two[pair]
-        p = two[x.pairs.of]
-        p[ends] = three[triples.of]
-        return pd.DataFrame(
-            {
-                "doc_id": pd.array(list(row.doc_ids), dtype="Int64"),
-                "held_out": unpack(row.places) == 1,
-                "n_tokens": x.lengths,
-                "n_known": np.add.reduceat((x.counts[x.tokens] > 0).astype(np.int64), x.begins),
-                "train_tokens": learnt,
-                "base_score": np.add.reduceat(np.log10(alone)[x.tokens], x.begins),
-                "score": np.add.reduceat(np.log10(np.minimum(p, 1.0)), x.begins),
-            }
-        )
-
-    parts = bins.select("bin", F.lit(TEXTS).alias("kind"), F.lit(0).alias("shard"), F.col("held").alias("places"), F.col("lengths").alias("a"), F.col("tokens").alias("b"), "doc_ids")
-    words_ = counted.select("bin", "kind", "shard", "places", "a", "b", F.lit(None).cast("array<bigint>").alias("doc_ids"))
-    first = parts.union(words_)
-    pairs = first.groupBy("bin").applyInPandas(ask_pairs, ASKED).groupBy("shard").applyInPandas(answer(PAIRS), MAIL)
-    second = first.union(pairs)  # its shuffle by bin serves the triples and the scores
-    triples = second.groupBy("bin").applyInPandas(ask_triples, ASKED).groupBy("shard").applyInPandas(answer(TRIPLES), MAIL)
-    return second.groupBy("bin").cogroup(triples.groupBy("bin")).applyInPandas(
-        score, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    )
+    def posted(answers: DataFrame, **columns: str) -> DataFrame:
+        """What came to each bin as one row, so that bins, and all that is answered them, are shuffled once and joined."""
+        mail = answers.groupBy("bin").agg(F.collect_list(F.struct(*columns.values())).alias("mail"))
+        return mail.select("bin", *[F.col(f"mail.{c}").alias(name) for name, c in columns.items()])
+
+    def rows_of(batches: Iterator[pd.DataFrame]) -> Iterator[tuple]:
+        for pdf in batches:
+            for row in pdf.itertuples(index=False):
+                yield row, Coded.read(row, texts, shards)
+
+    def mail_of(row, kind: str) -> Iterable[tuple]:
+        parts_ = [getattr(row, f"{kind}_{x}") for x in ("shard", "codes", "told")]
+        return () if parts_[0] is None else zip(*parts_)  # nothing was asked
+
+    def ask_pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for row, x in rows_of(batches):
+            yield pd.DataFrame(x.pairs.questions(row.bin), columns=["shard", "bin", "keys", "learnt", "seen"])
+
+    def ask_triples(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for row, x in rows_of(batches):
+            _, everywhere, here = x.pairs.answered(mail_of(row, "pair"), prior)
+            yield pd.DataFrame(x.triples(everywhere, here, shards)[0].questions(row.bin), columns=["shard", "bin", "keys", "learnt", "seen"])
+
+    def answer(pdf: pd.DataFrame) -> pd.DataFrame:
+        asked = [[np.cumsum(unpack(k[0])), *(unpack(x) for x in k[1:])] for k in pdf["keys"]]
+        keys = [np.concatenate(x) for x in zip(*asked)]
+        learnt, seen = (np.concatenate([unpack(x) for x in pdf[k]]) for k in ("learnt", "seen"))
+        one = folded(keys)
+        order = np.argsort(one, kind="stable")  # what a bin asks is in order already
+        new = np.diff(one[order], prepend=-1) != 0
+        first = np.flatnonzero(new)  # a bin asks once about an n-gram
+        count, askers = np.add.reduceat(learnt[order], first), np.diff(first, append=len(order))
+        sole = np.zeros(len(order), np.int64)
+        sole[order[first[askers == 1]]] = 1
+        context = np.maximum.reduceat(seen[order], first)[count > 0]  # sent by those who learn
+        taught = order[first[count > 0]]
+        count = count[count > 0]
+        trie = Trie(*(k[taught] for k in keys), count / (context + prior))
+        at = np.empty(len(order), np.int64)
+        at[order] = trie.places(*(k[order[first]] for k in keys))[np.cumsum(new) - 1]
+        cuts = np.cumsum([len(x[0]) for x in asked])[:-1]
+        codes, told = (np.split(x, cuts) for x in (np.append(trie.codes, 0)[at], np.append(count, 0)[at] * 2 + sole))
+        return pd.DataFrame({"bin": pdf["bin"], "shard": pdf["shard"], "codes": [pack(x) for x in codes], "told": [pack(x) for x in told]})
+
+    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for row, x in rows_of(batches):
+            alone = (x.counts + 1) / whole
+            found, everywhere, here = x.pairs.answered(mail_of(row, "pair"), prior)
+            two = found + prior / (x.pairs.seen + prior) * alone[x.word]
+            triples, ends, pair = x.triples(everywhere, here, shards)
+            found, *_ = triples.answered(mail_of(row, "triple"), prior)
+            three = found + prior / (triples.seen + prior) * two[pair]
+            p = two[x.pairs.of]
+            p[ends] = three[triples.of]
+            yield pd.DataFrame(
+                {
+                    "doc_id": pd.array([None if pd.isna(i) else int(i) for i in row.doc_ids], dtype="Int64"),
+                    "held_out": unpack(row.held) == 1,
+                    "n_tokens": x.lengths,
+                    "n_known": np.add.reduceat((x.counts[x.tokens] > 0).astype(np.int64), x.begins),
+                    "train_tokens": learnt,
+                    "base_score": np.add.reduceat(np.log10(alone)[x.tokens], x.begins),
+                    "score": np.add.reduceat(np.log10(np.minimum(p, 1.0)), x.begins),
+                }
+            )
+
+    def answers(asked: DataFrame, kind: str) -> DataFrame:
+        found = asked.groupBy("shard").applyInPandas(answer, "bin string, shard int, codes binary, told binary")
+        return posted(found, **{f"{kind}_{c}": c for c in ("shard", "codes", "told")})
+
+    base = bins.select("bin", "doc_ids", "held", "lengths", "tokens").join(posted(counted, word_places="places", word_ids="a", word_told="b"), "bin")
+    with_pairs = base.join(answers(base.mapInPandas(ask_pairs, ASKED), "pair"), "bin", "left")
+    with_triples = with_pairs.join(answers(with_pairs.mapInPandas(ask_triples, ASKED), "triple"), "bin", "left")
+    return with_triples.mapInPandas(score, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
