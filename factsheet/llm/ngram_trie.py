@@ -6,7 +6,7 @@ import mmap
 import tempfile
 import uuid
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -409,23 +409,24 @@ def scored(documents: DataFrame, *, prior: float = 8.0, tokens_a_bin: int = 2_00
         mail = answers.groupBy("bin").agg(F.collect_list(F.struct(*columns.values())).alias("mail"))
         return mail.select("bin", *[F.col(f"mail.{c}").alias(name) for name, c in columns.items()])
 
-    def rows_of(batches: Iterator[pd.DataFrame]) -> Iterator[tuple]:
-        for pdf in batches:
-            for row in pdf.itertuples(index=False):
-                yield row, Coded.read(row, texts, shards)
+    def by_bin(one: Callable[..., pd.DataFrame]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                for row in pdf.itertuples(index=False):
+                    yield one(row, Coded.read(row, texts, shards))  # a call, so that one bin's arrays go before the next one's come
+
+        return run
 
     def mail_of(row, kind: str) -> Iterable[tuple]:
         parts_ = [getattr(row, f"{kind}_{x}") for x in ("shard", "codes", "told")]
         return () if parts_[0] is None else zip(*parts_)  # nothing was asked
 
-    def ask_pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for row, x in rows_of(batches):
-            yield pd.DataFrame(x.pairs.questions(row.bin), columns=["shard", "bin", "keys", "learnt", "seen"])
+    def ask_pairs(row, x: Coded) -> pd.DataFrame:
+        return pd.DataFrame(x.pairs.questions(row.bin), columns=["shard", "bin", "keys", "learnt", "seen"])
 
-    def ask_triples(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for row, x in rows_of(batches):
-            _, everywhere, here = x.pairs.answered(mail_of(row, "pair"), prior)
-            yield pd.DataFrame(x.triples(everywhere, here, shards)[0].questions(row.bin), columns=["shard", "bin", "keys", "learnt", "seen"])
+    def ask_triples(row, x: Coded) -> pd.DataFrame:
+        _, everywhere, here = x.pairs.answered(mail_of(row, "pair"), prior)
+        return pd.DataFrame(x.triples(everywhere, here, shards)[0].questions(row.bin), columns=["shard", "bin", "keys", "learnt", "seen"])
 
     def answer(pdf: pd.DataFrame) -> pd.DataFrame:
         asked = [[np.cumsum(unpack(k[0])), *(unpack(x) for x in k[1:])] for k in pdf["keys"]]
@@ -448,33 +449,32 @@ def scored(documents: DataFrame, *, prior: float = 8.0, tokens_a_bin: int = 2_00
         codes, told = (np.split(x, cuts) for x in (np.append(trie.codes, 0)[at], np.append(count, 0)[at] * 2 + sole))
         return pd.DataFrame({"bin": pdf["bin"], "shard": pdf["shard"], "codes": [pack(x) for x in codes], "told": [pack(x) for x in told]})
 
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for row, x in rows_of(batches):
-            alone = (x.counts + 1) / whole
-            found, everywhere, here = x.pairs.answered(mail_of(row, "pair"), prior)
-            two = found + prior / (x.pairs.seen + prior) * alone[x.word]
-            triples, ends, pair = x.triples(everywhere, here, shards)
-            found, *_ = triples.answered(mail_of(row, "triple"), prior)
-            three = found + prior / (triples.seen + prior) * two[pair]
-            p = two[x.pairs.of]
-            p[ends] = three[triples.of]
-            yield pd.DataFrame(
-                {
-                    "doc_id": pd.array([None if pd.isna(i) else int(i) for i in row.doc_ids], dtype="Int64"),
-                    "held_out": unpack(row.held) == 1,
-                    "n_tokens": x.lengths,
-                    "n_known": np.add.reduceat((x.counts[x.tokens] > 0).astype(np.int64), x.begins),
-                    "train_tokens": learnt,
-                    "base_score": np.add.reduceat(np.log10(alone)[x.tokens], x.begins),
-                    "score": np.add.reduceat(np.log10(np.minimum(p, 1.0)), x.begins),
-                }
-            )
+    def score(row, x: Coded) -> pd.DataFrame:
+        alone = (x.counts + 1) / whole
+        found, everywhere, here = x.pairs.answered(mail_of(row, "pair"), prior)
+        two = found + prior / (x.pairs.seen + prior) * alone[x.word]
+        triples, ends, pair = x.triples(everywhere, here, shards)
+        found, *_ = triples.answered(mail_of(row, "triple"), prior)
+        three = found + prior / (triples.seen + prior) * two[pair]
+        p = two[x.pairs.of]
+        p[ends] = three[triples.of]
+        return pd.DataFrame(
+            {
+                "doc_id": pd.array([None if pd.isna(i) else int(i) for i in row.doc_ids], dtype="Int64"),
+                "held_out": unpack(row.held) == 1,
+                "n_tokens": x.lengths,
+                "n_known": np.add.reduceat((x.counts[x.tokens] > 0).astype(np.int64), x.begins),
+                "train_tokens": learnt,
+                "base_score": np.add.reduceat(np.log10(alone)[x.tokens], x.begins),
+                "score": np.add.reduceat(np.log10(np.minimum(p, 1.0)), x.begins),
+            }
+        )
 
     def answers(asked: DataFrame, kind: str) -> DataFrame:
         found = asked.groupBy("shard").applyInPandas(answer, "bin string, shard int, codes binary, told binary")
         return posted(found, **{f"{kind}_{c}": c for c in ("shard", "codes", "told")})
 
     base = bins.select("bin", "doc_ids", "held", "lengths", "tokens").join(posted(counted, word_places="places", word_ids="a", word_told="b"), "bin")
-    with_pairs = base.join(answers(base.mapInPandas(ask_pairs, ASKED), "pair"), "bin", "left")
-    with_triples = with_pairs.join(answers(with_pairs.mapInPandas(ask_triples, ASKED), "triple"), "bin", "left")
-    return with_triples.mapInPandas(score, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    with_pairs = base.join(answers(base.mapInPandas(by_bin(ask_pairs), ASKED), "pair"), "bin", "left")
+    with_triples = with_pairs.join(answers(with_pairs.mapInPandas(by_bin(ask_triples), ASKED), "triple"), "bin", "left")
+    return with_triples.mapInPandas(by_bin(score), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
