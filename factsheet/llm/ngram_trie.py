@@ -204,13 +204,44 @@ def folded(keys: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def shard_of(keys: list[np.ndarray], shards: int) -> np.ndarray:
-    """By all words, so that a context with a third of all tokens is spread like any other."""
+#: A context with more than this part of a shard's even share of the tokens is spread over further shards.
+PIECE = 64
+
+
+def shard_of(keys: list[np.ndarray], seen: np.ndarray, learnt: int, shards: int) -> np.ndarray:
+    """By the context, and by the last word too as far as the context is frequent: one with a third of all tokens goes over all shards.
+
+    How often learning texts have a context is everywhere the same, and so is the shard.
+    """
     mixed = np.zeros(len(keys[0]), np.uint64)
     for k in keys:
+        context = mixed
         mixed = (mixed ^ k.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
         mixed ^= mixed >> np.uint64(29)
-    return (mixed % np.uint64(shards)).astype(np.int64)
+    over = np.minimum(1 + PIECE * shards * seen // max(learnt, 1), shards).astype(np.uint64)
+    return ((context % np.uint64(shards) + mixed % over) % np.uint64(shards)).astype(np.int64)
+
+
+def begins_run(keys: list[np.ndarray]) -> np.ndarray:
+    """Which rows differ from the one before."""
+    new = np.zeros(len(keys[0]), bool)
+    new[:1] = True
+    for k in keys:
+        new[1:] |= k[1:] != k[:-1]
+    return new
+
+
+def pack_keys(keys: list[np.ndarray]) -> list[bytes]:
+    """Keys in the order of the first two: those two as steps."""
+    first, second, *rest = keys
+    return [pack(np.diff(first, prepend=0)), pack(np.where(begins_run([first]), second, np.diff(second, prepend=0))), *(pack(k) for k in rest)]
+
+
+def unpack_keys(data: Iterable[bytes]) -> list[np.ndarray]:
+    first, second, *rest = (unpack(x) for x in data)
+    new, sums = first != 0, np.cumsum(second)
+    new[:1] = True
+    return [np.cumsum(first), sums - (sums - second)[new][np.cumsum(new) - 1], *rest]
 
 
 BIN = "bin string, doc_ids array<long>, held binary, texts long, lengths binary, tokens binary, vocabulary binary, counts binary, n long"
@@ -312,26 +343,35 @@ class Grams:
     cuts: np.ndarray
 
     @staticmethod
-    def of_bin(keys: list[np.ndarray], own: np.ndarray, seen: np.ndarray, of: np.ndarray, alone: np.ndarray, shards: int) -> Grams:
-        """``alone``: n-grams whose context or end occurs in no other bin, so that their count here is their count everywhere."""
-        asked = np.flatnonzero(~alone)
+    def of_bin(keys: list[np.ndarray], own: np.ndarray, seen: np.ndarray, of: np.ndarray, alone: np.ndarray, learnt: int, shards: int) -> Grams:
+        """``alone``: n-grams whose context or end occurs in no other bin, so that their count here is their count everywhere.
+
+        Nothing is asked about them, nor about n-grams whose context no learning text has.
+        """
+        asked = np.flatnonzero(~alone & (seen > 0))
         asked_keys = [k[asked] for k in keys]
-        shard = shard_of(asked_keys, shards)
+        shard = shard_of(asked_keys, seen[asked], learnt, shards)
         order = np.argsort(folded([shard, *asked_keys[:2]]), kind="stable")
         return Grams(keys, own, seen, of, asked[order], np.searchsorted(shard[order], np.arange(shards + 1)))
 
     def questions(self, bin_: str) -> Iterator[tuple]:
         for s in np.flatnonzero(np.diff(self.cuts)):
             o = self.order[self.cuts[s] : self.cuts[s + 1]]
-            first, *rest = (k[o] for k in self.keys)
-            yield int(s), bin_, [pack(np.diff(first, prepend=0)), *(pack(k) for k in rest)], pack(self.own[o]), pack(np.where(self.own[o] > 0, self.seen[o], 0))
+            keys = [k[o] for k in self.keys]
+            yield int(s), bin_, pack_keys(keys), pack(self.own[o]), pack(self.seen[o[begins_run(keys[:-1])]])
 
     def answered(self, answers: Iterable[tuple], prior: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Probabilities as the trie has them, counts everywhere, and whether no other bin has the n-gram."""
+        """Probabilities as the trie has them, counts everywhere, and whether no other bin has the n-gram.
+
+        Codes come as steps above that of an n-gram seen once in its context, from 1; 0 is no entry.
+        """
         codes, told = np.where(self.own > 0, quantize(self.own / (self.seen + prior)), 0).astype(np.int64), self.own * 2 + 1
-        for shard, coded, counts in answers:
+        for shard, steps, counts in answers:
             at = self.order[self.cuts[shard] : self.cuts[shard + 1]]
-            codes[at], told[at] = unpack(coded), unpack(counts)
+            above = unpack(steps)
+            codes[at] = np.where(above > 0, above - 1 + quantize(1 / (self.seen[at] + prior)), 0)
+            if counts is not None:
+                told[at] = unpack(counts)
         return dequantize(codes), told >> 1, (told & 1) == 1
 
 
@@ -348,7 +388,7 @@ class Coded:
     pairs: Grams
 
     @staticmethod
-    def read(row, texts: int, shards: int) -> Coded:
+    def read(row, texts: int, learnt: int, shards: int) -> Coded:
         lengths, tokens, held = unpack(row.lengths), unpack(row.tokens), unpack(row.held)
         size = int(tokens.max()) + 1
         ids, told = np.zeros(size + 1, np.int64), np.zeros(size + 1, np.int64)
@@ -363,10 +403,10 @@ class Coded:
         key, pair = np.unique(before * (size + 1) + tokens, return_inverse=True)
         taught = np.repeat(held == 0, lengths)
         c, w = key // (size + 1), key % (size + 1)
-        pairs = Grams.of_bin([ids[c], ids[w]], np.bincount(pair[taught], minlength=len(key)), counts[c], pair, here[c] | here[w], shards)
+        pairs = Grams.of_bin([ids[c], ids[w]], np.bincount(pair[taught], minlength=len(key)), counts[c], pair, here[c] | here[w], learnt, shards)
         return Coded(lengths, begins, taught, tokens, counts, w, pairs)
 
-    def triples(self, everywhere: np.ndarray, here: np.ndarray, shards: int) -> tuple[Grams, np.ndarray, np.ndarray]:
+    def triples(self, everywhere: np.ndarray, here: np.ndarray, learnt: int, shards: int) -> tuple[Grams, np.ndarray, np.ndarray]:
         """The distinct triples of tokens, whose contexts are pairs; the tokens that end one; and each triple's pair at its end."""
         inner = np.ones(len(self.tokens), bool)
         inner[self.begins] = False
@@ -376,7 +416,7 @@ class Coded:
         a, b = key // size, key % size
         (u, v), (_, w) = ([k[x] for k in self.pairs.keys] for x in (a, b))
         own = np.bincount(triple[self.taught[ends]], minlength=len(key))
-        return Grams.of_bin([u, v, w], own, everywhere[a], triple, here[a] | here[b], shards), ends, b
+        return Grams.of_bin([u, v, w], own, everywhere[a], triple, here[a] | here[b], learnt, shards), ends, b
 
 
 def scored(documents: DataFrame, *, prior: float = 8.0, tokens_a_bin: int = 2_000_000) -> DataFrame:
@@ -390,8 +430,8 @@ def scored(documents: DataFrame, *, prior: float = 8.0, tokens_a_bin: int = 2_00
     Texts are read once and kept as bins of word numbers. A bin asks the shards of words for its distinct words,
     those of pairs for its distinct pairs and those of triples for its distinct triples, so a frequent one is one
     entry a bin wherever it goes, and a shard holds about as much as a bin: there are as many as bins. N-grams go
-    to shards by all their words. One whose context or end is in no other bin, held-out texts
-    included, is counted in its bin.
+    to shards by their context, a frequent one's by their last word too. One whose context or end is in no other bin,
+    held-out texts included, is counted in its bin; one whose context no learning text has is not counted.
 
     A null or empty text is its end alone; repeated rows are texts of their own; a row without ``doc_id`` is not
     held out. Without texts there are no rows.
@@ -413,7 +453,7 @@ def scored(documents: DataFrame, *, prior: float = 8.0, tokens_a_bin: int = 2_00
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for pdf in batches:
                 for row in pdf.itertuples(index=False):
-                    yield one(row, Coded.read(row, texts, shards))  # a call, so that one bin's arrays go before the next one's come
+                    yield one(row, Coded.read(row, texts, learnt, shards))  # a call, so that one bin's arrays go before the next one's come
 
         return run
 
@@ -426,12 +466,17 @@ def scored(documents: DataFrame, *, prior: float = 8.0, tokens_a_bin: int = 2_00
 
     def ask_triples(row, x: Coded) -> pd.DataFrame:
         _, everywhere, here = x.pairs.answered(mail_of(row, "pair"), prior)
-        return pd.DataFrame(x.triples(everywhere, here, shards)[0].questions(row.bin), columns=["shard", "bin", "keys", "learnt", "seen"])
-
-    def answer(pdf: pd.DataFrame) -> pd.DataFrame:
-        asked = [[np.cumsum(unpack(k[0])), *(unpack(x) for x in k[1:])] for k in pdf["keys"]]
+        return pd.DataFrame(x.triples(everywhere, here, learnt, shards)[0].questions(row.bin), columns=["shard", "bin", "keys", "learnt", "seen"])
+
+    def answer(pdf: pd.DataFrame, tells: bool) -> pd.DataFrame:
+        asked = [unpack_keys(k) for k in pdf["keys"]]
+        runs = [np.cumsum(begins_run(k[:-1])) - 1 for k in asked]
+        sizes = [len(x) for x in runs]
+        contexts = [unpack(x) for x in pdf["seen"]]
+        seen, once = (np.concatenate([x[run] for x, run in zip(y, runs)]) for y in (contexts, [quantize(1 / (x + prior)) for x in contexts]))
         keys = [np.concatenate(x) for x in zip(*asked)]
-        learnt, seen = (np.concatenate([unpack(x) for x in pdf[k]]) for k in ("learnt", "seen"))
+        learnt = np.concatenate([unpack(x) for x in pdf["learnt"]])
+        del asked, runs, contexts
         one = folded(keys)
         order = np.argsort(one, kind="stable")  # what a bin asks is in order already
         new = np.diff(one[order], prepend=-1) != 0
@@ -439,21 +484,21 @@ def scored(documents: DataFrame, *, prior: float = 8.0, tokens_a_bin: int = 2_00
         count, askers = np.add.reduceat(learnt[order], first), np.diff(first, append=len(order))
         sole = np.zeros(len(order), np.int64)
         sole[order[first[askers == 1]]] = 1
-        context = np.maximum.reduceat(seen[order], first)[count > 0]  # sent by those who learn
         taught = order[first[count > 0]]
         count = count[count > 0]
-        trie = Trie(*(k[taught] for k in keys), count / (context + prior))
+        trie = Trie(*(k[taught] for k in keys), count / (seen[taught] + prior))
         at = np.empty(len(order), np.int64)
         at[order] = trie.places(*(k[order[first]] for k in keys))[np.cumsum(new) - 1]
-        cuts = np.cumsum([len(x[0]) for x in asked])[:-1]
-        codes, told = (np.split(x, cuts) for x in (np.append(trie.codes, 0)[at], np.append(count, 0)[at] * 2 + sole))
-        return pd.DataFrame({"bin": pdf["bin"], "shard": pdf["shard"], "codes": [pack(x) for x in codes], "told": [pack(x) for x in told]})
+        steps = np.where(at >= 0, np.append(trie.codes, np.uint16(0))[at].astype(np.int64) - once + 1, 0)
+        cuts = np.cumsum(sizes)[:-1]
+        told = [pack(x) for x in np.split(np.append(count, 0)[at] * 2 + sole, cuts)] if tells else None  # nothing is asked after the last level
+        return pd.DataFrame({"bin": pdf["bin"], "shard": pdf["shard"], "codes": [pack(x) for x in np.split(steps, cuts)], "told": told})
 
     def score(row, x: Coded) -> pd.DataFrame:
         alone = (x.counts + 1) / whole
         found, everywhere, here = x.pairs.answered(mail_of(row, "pair"), prior)
         two = found + prior / (x.pairs.seen + prior) * alone[x.word]
-        triples, ends, pair = x.triples(everywhere, here, shards)
+        triples, ends, pair = x.triples(everywhere, here, learnt, shards)
         found, *_ = triples.answered(mail_of(row, "triple"), prior)
         three = found + prior / (triples.seen + prior) * two[pair]
         p = two[x.pairs.of]
@@ -471,7 +516,7 @@ def scored(documents: DataFrame, *, prior: float = 8.0, tokens_a_bin: int = 2_00
         )
 
     def answers(asked: DataFrame, kind: str) -> DataFrame:
-        found = asked.groupBy("shard").applyInPandas(answer, "bin string, shard int, codes binary, told binary")
+        found = asked.groupBy("shard").applyInPandas(lambda pdf: answer(pdf, kind == "pair"), "bin string, shard int, codes binary, told binary")
         return posted(found, **{f"{kind}_{c}": c for c in ("shard", "codes", "told")})
 
     base = bins.select("bin", "doc_ids", "held", "lengths", "tokens").join(posted(counted, word_places="places", word_ids="a", word_told="b"), "bin")

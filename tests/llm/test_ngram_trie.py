@@ -111,3 +111,25 @@ def test_three_levels_without_decoding(entries, sought):
         m.setattr(nt.EliasFano, "decode", None)
         got = nt.dequantize(trie.find(*(np.array([k[i] for k in sought], np.int64) for i in range(3))))
     assert got == pytest.approx([entries.get(k, 0.0) for k in sought], rel=1e-3)
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 2**40), st.integers(0, 2**40), st.integers(0, 9)), min_size=1).map(sorted), st.integers(2, 3))
+def test_keys_come_back_from_steps(rows, n):
+    keys = [np.array([r[i] for r in rows], np.int64) for i in range(n)]
+    assert [k.tolist() for k in nt.unpack_keys(nt.pack_keys(keys))] == [k.tolist() for k in keys]
+
+
+def test_a_frequent_context_is_spread_and_a_rare_one_is_not():
+    last = np.arange(10_000)
+    shard = lambda seen: np.bincount(nt.shard_of([np.full(10_000, 7), last], np.full(10_000, seen), 30_000_000, 48), minlength=48)
+    assert (shard(100) > 0).sum() == 1
+    assert shard(10_000_000).max() < 1.5 * 10_000 / 48
+
+
+def test_contexts_that_no_learning_text_has_are_not_asked_about():
+    keys = [np.array([1, 1, 2]), np.array([5, 6, 5])]
+    grams = nt.Grams.of_bin(keys, np.array([1, 0, 0]), np.array([3, 3, 0]), np.arange(3), np.zeros(3, bool), 100, 4)
+    assert sorted(grams.order.tolist()) == [0, 1]
+    p, count, sole = grams.answered([], 8.0)
+    assert count[2] == 0 and p[2] == 0 and sole[2]
