@@ -232,16 +232,23 @@ def begins_run(keys: list[np.ndarray]) -> np.ndarray:
 
 
 def pack_keys(keys: list[np.ndarray]) -> list[bytes]:
-    """Keys in the order of the first two: those two as steps."""
-    first, second, *rest = keys
-    return [pack(np.diff(first, prepend=0)), pack(np.where(begins_run([first]), second, np.diff(second, prepend=0))), *(pack(k) for k in rest)]
+    """Keys in order, each as steps among those that begin alike."""
+    out, new = [], begins_run([np.zeros(len(keys[0]))])
+    for k in keys:
+        steps = np.diff(k, prepend=0)
+        out.append(pack(np.where(new, k, steps)))
+        new = new | (steps != 0)
+    return out
 
 
 def unpack_keys(data: Iterable[bytes]) -> list[np.ndarray]:
-    first, second, *rest = (unpack(x) for x in data)
-    new, sums = first != 0, np.cumsum(second)
-    new[:1] = True
-    return [np.cumsum(first), sums - (sums - second)[new][np.cumsum(new) - 1], *rest]
+    out, new = [], None
+    for steps in map(unpack, data):
+        new = begins_run([np.zeros(len(steps))]) if new is None else new
+        sums = np.cumsum(steps)
+        out.append(sums - (sums - steps)[new][np.cumsum(new) - 1])
+        new = new | (steps != 0)
+    return out
 
 
 BIN = "bin string, doc_ids array<long>, held binary, texts long, lengths binary, tokens binary, vocabulary binary, counts binary, n long"
@@ -309,7 +316,7 @@ def word_counts(bins: DataFrame, shards: int) -> DataFrame:
                 of = np.fromiter((zlib.crc32(w) % shards for w in names), np.int64, len(names))
                 for s in np.unique(of):
                     here = np.flatnonzero(of == s)
-                    yield pd.DataFrame({"shard": [s], "bin": [row.bin], "places": [pack(here)], "names": [pack_words([names[i] for i in here])], "counts": [pack(counts[here])]})
+                    yield pd.DataFrame({"shard": [s], "bin": [row.bin], "places": [pack(np.diff(here, prepend=0))], "names": [pack_words([names[i] for i in here])], "counts": [pack(counts[here])]})
 
     def count(pdf: pd.DataFrame) -> pd.DataFrame:
         shard = int(pdf["shard"].iloc[0])
@@ -333,7 +340,7 @@ def word_counts(bins: DataFrame, shards: int) -> DataFrame:
 
 @dataclass
 class Grams:
-    """The distinct n-grams of a bin: their words, how often learning texts have them here, and how often everywhere."""
+    """The distinct n-grams of a bin in order: their words, how often learning texts have them here, and how often everywhere."""
 
     keys: list[np.ndarray]
     own: np.ndarray
@@ -349,9 +356,8 @@ class Grams:
         Nothing is asked about them, nor about n-grams whose context no learning text has.
         """
         asked = np.flatnonzero(~alone & (seen > 0))
-        asked_keys = [k[asked] for k in keys]
-        shard = shard_of(asked_keys, seen[asked], learnt, shards)
-        order = np.argsort(folded([shard, *asked_keys[:2]]), kind="stable")
+        shard = shard_of([k[asked] for k in keys], seen[asked], learnt, shards)
+        order = np.argsort(shard.astype(np.min_scalar_type(shards)), kind="stable")
         return Grams(keys, own, seen, of, asked[order], np.searchsorted(shard[order], np.arange(shards + 1)))
 
     def questions(self, bin_: str) -> Iterator[tuple]:
@@ -377,7 +383,7 @@ class Grams:
 
 @dataclass
 class Coded:
-    """A bin with what the words' shards say: ids and counts by word number, and its distinct pairs of tokens."""
+    """A bin with what the words' shards say: words numbered anew by their ids, from the start of texts as 0, their counts, and the distinct pairs."""
 
     lengths: np.ndarray
     begins: np.ndarray
@@ -390,19 +396,22 @@ class Coded:
     @staticmethod
     def read(row, texts: int, learnt: int, shards: int) -> Coded:
         lengths, tokens, held = unpack(row.lengths), unpack(row.tokens), unpack(row.held)
-        size = int(tokens.max()) + 1
-        ids, told = np.zeros(size + 1, np.int64), np.zeros(size + 1, np.int64)
+        size = int(tokens.max()) + 2
+        ids, told = np.full(size, START, np.int64), np.full(size, texts * 2 + (shards == 1), np.int64)
         for places, a, b in zip(row.word_places, row.word_ids, row.word_told):
-            at = unpack(places)
+            at = np.cumsum(unpack(places))
             ids[at], told[at] = unpack(a), unpack(b)
-        ids[size], told[size] = START, texts * 2 + (shards == 1)
+        by_id = np.argsort(ids)  # the start of texts first
+        number = np.empty_like(by_id)
+        number[by_id] = np.arange(size)
+        ids, told, tokens = ids[by_id], told[by_id], number[tokens]
         counts, here = told >> 1, (told & 1) == 1
         begins = np.cumsum(lengths) - lengths
-        before = np.concatenate([[size], tokens[:-1]])
-        before[begins] = size
-        key, pair = np.unique(before * (size + 1) + tokens, return_inverse=True)
+        before = np.concatenate([[0], tokens[:-1]])
+        before[begins] = 0
+        key, pair = np.unique(before * size + tokens, return_inverse=True)
         taught = np.repeat(held == 0, lengths)
-        c, w = key // (size + 1), key % (size + 1)
+        c, w = key // size, key % size
         pairs = Grams.of_bin([ids[c], ids[w]], np.bincount(pair[taught], minlength=len(key)), counts[c], pair, here[c] | here[w], learnt, shards)
         return Coded(lengths, begins, taught, tokens, counts, w, pairs)
 
