@@ -23,14 +23,21 @@ START = 0
 
 
 def pack(values: np.ndarray) -> bytes:
-    """Integers byte plane by byte plane, compressed: high planes of small numbers take next to nothing."""
-    data = np.ascontiguousarray(values, dtype="<i8").view(np.uint8).reshape(-1, 8).T.tobytes()
-    return zstandard.ZstdCompressor(level=1).compress(data)
+    """Integers byte plane by byte plane, as many as the largest needs (all eight where one is negative), compressed."""
+    top = int(values.max(initial=0))
+    planes = 8 if values.min(initial=0) < 0 else max(1, -(-top.bit_length() // 8))
+    kind = np.dtype("<i8" if planes > 4 else "<u4" if planes > 2 else "<u2" if planes > 1 else "u1")
+    data = np.ascontiguousarray(values, dtype=kind).view(np.uint8).reshape(-1, kind.itemsize)[:, :planes].T.tobytes()
+    return bytes([planes]) + zstandard.ZstdCompressor(level=1).compress(data)
 
 
 def unpack(data: bytes) -> np.ndarray:
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), dtype=np.uint8).reshape(8, -1)
-    return np.ascontiguousarray(planes.T).view("<i8").ravel()
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data[1:]), dtype=np.uint8).reshape(data[0], -1)
+    out = np.zeros(planes.shape[1], "<i8")
+    cells = out.view(np.uint8).reshape(-1, 8)
+    for i, plane in enumerate(planes):
+        cells[:, i] = plane
+    return out
 
 
 def pack_words(tokens: list[bytes]) -> bytes:
