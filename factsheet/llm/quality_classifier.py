@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import re
 import zlib
+from collections import defaultdict
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, replace
-from functools import lru_cache
-from itertools import chain
+from itertools import chain, count
 
 import numpy as np
 import pandas as pd
@@ -16,23 +15,25 @@ from pyspark.sql import Column, DataFrame, functions as F
 from factsheet.llm.common import checkpointed, map_text, set_aside, spread_join, words
 
 _FORM = bytes(65 if 65 <= c <= 90 else 97 if 97 <= c <= 122 or c >= 128 else 48 if 48 <= c <= 57 else c for c in range(256))
-_RUN = re.compile(rb"(.)\1+", re.S)
-_MARKS = re.compile(r"^[\W_]+|[\W_]+$")
 #: Buckets that the counts of a task travel in at once.
 _CHUNK = 4096
 
 
-@lru_cache(maxsize=30_000)
-def form(word: bytes) -> bytes:
-    """A word without its letters: runs of lower, upper case and digits as a, A and 0, other runs as one sign."""
-    return _RUN.sub(rb"\1", word.translate(_FORM))
+def word_hashes(distinct: Sequence[bytes]) -> np.ndarray:
+    """Of each word, the hashes of its form, and of the word in lower case without the marks around it, side by side.
 
-
-@lru_cache(maxsize=30_000)
-def hashes(word: bytes) -> tuple[int, int]:
-    """Hashes of a word's form, and of the word in lower case without the marks around it."""
-    plain = word.decode("utf-8", "replace").casefold()
-    return zlib.crc32(form(word)), zlib.crc32((_MARKS.sub("", plain) or plain).encode())
+    A form is a word without its letters: runs of lower, upper case and digits as a, A and 0, other runs as one sign.
+    All words are worked on as the lines of one text: a word holds no white space, and case goes sign by sign.
+    """
+    if not distinct:
+        return np.zeros((0, 2), np.uint64)
+    lines = b"\n".join(distinct)
+    signs = np.frombuffer(lines.translate(_FORM), np.uint8)
+    forms = signs[np.concatenate([[True], signs[1:] != signs[:-1]])].tobytes().split(b"\n")
+    plain = lines.decode("utf-8", "replace").casefold()
+    marks = "".join(c for c in set(plain) if not c.isalnum())
+    bare = "\n".join([w.strip(marks) or w for w in plain.split("\n")]).encode().split(b"\n")
+    return np.column_stack([np.fromiter(map(zlib.crc32, x), np.uint64, len(distinct)) for x in (forms, bare)])
 
 
 def _mixed(value: np.ndarray) -> np.ndarray:
@@ -71,10 +72,9 @@ def batch_features(texts: Sequence[str | None], buckets: int, longest: int = 3,
     tokens = list(chain.from_iterable(per_text))
     sizes = np.fromiter(map(len, per_text), np.int64, len(per_text))
     owner = np.repeat(np.arange(len(per_text)), sizes)
-    at = {w: i for i, w in enumerate(dict.fromkeys(tokens))}
+    at = defaultdict(count().__next__)
     codes = np.fromiter(map(at.__getitem__, tokens), np.int64, len(tokens))
-    both = np.array([hashes(w) for w in at], np.uint64).reshape(-1, 2)[codes]
-    forms = both[:, 0].copy()
+    forms, plain_words = (x[codes] for x in word_hashes(list(at)).T)
     forms[1:][(codes[1:] == codes[:-1]) & (owner[1:] == owner[:-1])] = zlib.crc32(b"=")
     own = [(i, b"length%d" % n.bit_length()) for i, n in enumerate(sizes.tolist())]
     for i, text in enumerate(texts):
@@ -85,7 +85,7 @@ def batch_features(texts: Sequence[str | None], buckets: int, longest: int = 3,
     found = [shapes % np.uint64(quarter), np.array([zlib.crc32(x) % quarter for _, x in own], np.uint64)]
     owners = [of_shapes, np.array([i for i, _ in own], np.int64)]
     if buckets > quarter:
-        plain, of_plain = _ngrams(both[:, 1], owner, longest_words)
+        plain, of_plain = _ngrams(plain_words, owner, longest_words)
         found.append(plain % np.uint64(buckets - quarter) + np.uint64(quarter))
         owners.append(of_plain)
     bits = buckets.bit_length()

@@ -1,4 +1,5 @@
 import re
+import sys
 import zlib
 from collections import Counter
 
@@ -147,3 +148,30 @@ def test_words_count_without_case_and_marks():
 @pytest.mark.parametrize("found", [[], [0], [0, 65534, 65535, 131069, 131070, 131071, 400_000], [65535], [262_143]])
 def test_packed_numbers(found):
     assert qc.unpack(qc.pack(np.array(found, np.int32))).tolist() == found
+
+
+def test_hashes_of_words_against_one_word_at_a_time():
+    def plain(word):
+        form = re.sub(rb"(.)\1+", rb"\1", re.sub(rb"[a-z\x80-\xff]", b"a", re.sub(rb"[A-Z]", b"A", re.sub(rb"[0-9]", b"0", word))), flags=re.S)
+        folded = word.decode().casefold()
+        return zlib.crc32(form), zlib.crc32((re.sub(r"^[\W_]+|[\W_]+$", "", folded) or folded).encode())
+
+    text = "Cheap (cheap) aab112--X __init__ ... \u00c4\u00d6\u00dfe \u0130I \u03a3\u03c2 \u201cquoted\u201d a\u00a0b \u2028 \x1c \x00 a_b- \u0661\u0662 #1# \U0001f600ok \u00b2 -\u0301a"
+    found = list(dict.fromkeys(qc.words(text)))
+    assert qc.word_hashes(found).tolist() == [list(plain(w)) for w in found]
+    assert qc.word_hashes([]).shape == (0, 2)
+
+
+def test_distinct_words_cost_few_calls():
+    texts, calls = [" ".join(f"W{i}x{j}." for j in range(100)) for i in range(300)], 0
+
+    def count(frame, event, arg):
+        nonlocal calls
+        calls += event in ("call", "c_call")
+
+    sys.setprofile(count)
+    try:
+        qc.batch_features(texts, 1 << 18)
+    finally:
+        sys.setprofile(None)
+    assert calls < 2 * 300 * 100
